@@ -97,7 +97,7 @@ class GrayIndex:
         return q, node
 
 
-def near_links(spark: SparkSession, distinct: DataFrame, radius: int, scratch: Scratch, cell_size: int = 20_000) -> DataFrame:
+def near_links(spark: SparkSession, distinct: DataFrame, radius: int, scratch: Scratch, cell_size: int = 65_536) -> DataFrame:
     """A spanning set of links (a, b: fingerprints) among distinct fingerprints ``fp`` within the radius."""
     ranked = distinct.select("fp", gray_rank(F.col("fp")).alias("rank"))
     n = ranked.count()
