@@ -4,9 +4,14 @@ On unit vectors, cosine >= c is distance <= r with r = sqrt(2 - 2c). Every
 vector belongs to the cell of its nearest pivot. By the triangle inequality a
 vector can be within r of a member of another cell only if it is within that
 cell's radius plus r of its pivot and no further than r beyond the plane between
-the two pivots; only then a copy visits that cell. Cells join by themselves: each
-(home block, visitor block) of a cell is one bounded unit of work. A unit sends on
-the number of links of each home vector and a spanning set of links, never pairs.
+the two pivots; only then a copy visits that cell, and only a cell of a smaller
+number, so that each pair meets once. Cells join by themselves: each (home block,
+visitor block) of a cell is one bounded unit of work: a single-precision product
+with a margin finds the candidates, double precision decides. A unit sends on the
+number of links of each vector and a spanning set of links, never pairs.
+
+Copies are few if the vectors form clusters wider apart than r; evenly spread
+vectors of many dimensions are visited by nearly all cells (README has figures).
 
 Exact copies are joined first and count as one vector with a multiplicity.
 
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, local_roots
 
-#: Slack for rounding in the distance bounds; the link test itself has none.
-_SLACK = 1e-9
+#: Slack for rounding in the distance bounds and in the single-precision filter; the link test itself has none.
+_SLACK, _MARGIN = 1e-9, 1e-4
 
 
 def valid(column: str):
@@ -39,13 +44,9 @@ def valid(column: str):
     return F.coalesce(c.isNotNull() & (F.size(c) > 0) & fine & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-def _rows(vectors: pd.Series) -> np.ndarray:
-    v = np.vstack(vectors.to_numpy()).astype(np.float64)
-    return v / np.abs(v).max(axis=1, keepdims=True)
-
-
-def _units(vectors: pd.Series) -> np.ndarray:
-    v = _rows(vectors)
+def _units(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -61,12 +62,12 @@ def range_units(spark: SparkSession, reps: DataFrame, cosine: float, per_cell: i
     pivots = chosen.toPandas()
     if not len(pivots):
         return spark.createDataFrame([], "a bigint, b bigint, links bigint")
-    pivots = _units(pivots["v"])
+    pivots = _units(np.vstack(pivots["v"]))
     apart = np.maximum(_distances(pivots, pivots), 1e-6)
 
     def radii(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            d = _distances(_units(b["v"]), pivots)
+            d = _distances(_units(np.vstack(b["v"])), pivots)
             home = d.argmin(axis=1)
             yield pd.DataFrame({"cell": home, "d": d[np.arange(len(d)), home]}).groupby("cell", as_index=False)["d"].max()
 
@@ -79,12 +80,13 @@ def range_units(spark: SparkSession, reps: DataFrame, cosine: float, per_cell: i
         own = d[np.arange(len(d)), home]
         beyond = (d**2 - own[:, None] ** 2) / (2 * apart[home])
         go = (d <= radius + r + _SLACK) & (beyond <= r + _SLACK)
+        go &= np.arange(len(pivots)) < home[:, None]
         go[np.arange(len(d)), home] = True
         return (home, *np.nonzero(go))
 
     def sizes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            home, _, cell = routed(_distances(_units(b["v"]), pivots))
+            home, _, cell = routed(_distances(_units(np.vstack(b["v"])), pivots))
             yield pd.DataFrame({"cell": np.arange(len(pivots)), "h": np.bincount(home, minlength=len(pivots)), "m": np.bincount(cell, minlength=len(pivots))})
 
     counted = reps.mapInPandas(sizes, "cell int, h bigint, m bigint").groupBy("cell").agg(F.sum("h").alias("h"), F.sum("m").alias("m")).collect()
@@ -93,52 +95,84 @@ def range_units(spark: SparkSession, reps: DataFrame, cosine: float, per_cell: i
         h_blocks[c["cell"]], v_blocks[c["cell"]] = max(1, -(-c["h"] // block)), max(1, -(-c["m"] // block))
 
     def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Copies for each unit: a home row in block i meets all visitor blocks, a visitor in block j all home blocks."""
-        for b in it:
-            home, row, cell = routed(_distances(_units(b["v"]), pivots))
-            mix = (b["rep"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            hb, vb = mix[row] % h_blocks[cell].astype(np.uint64), mix[row] % v_blocks[cell].astype(np.uint64)
-            parts = []
-            for as_home, mine, other in ((True, hb, v_blocks), (False, vb, h_blocks)):
-                keep = home[row] == cell if as_home else np.ones(len(row), bool)
-                copies = other[cell[keep]]
-                at = np.repeat(np.flatnonzero(keep), copies)
-                k = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-                pair = (mine[at].astype(int), k) if as_home else (k, mine[at].astype(int))
-                parts.append((at, pair, as_home))
-            for at, (i, j), as_home in parts:
-                take = b.iloc[row[at]]
-                yield pd.DataFrame({"cell": cell[at].astype(np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32), "home": as_home, "rep": take["rep"].array, "v": take["v"].array, "n": take["n"].array})
+        """Copies for each unit: a home row in block i meets all visitor blocks, any row in visitor block j all home blocks."""
+        for whole in it:
+            for s in range(0, len(whole), 1024):
+                yield from copies(whole.iloc[s : s + 1024])
+
+    def copies(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raw = np.vstack(b["v"])
+        home, row, cell = routed(_distances(_units(raw), pivots))
+        packed = np.array([x.tobytes() for x in raw], dtype=object)
+        mix = (b["rep"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        own = home[row] == cell
+        for role in (0, 1):
+            kept = np.flatnonzero(own) if role == 0 else np.arange(len(row))
+            here, across = (h_blocks, v_blocks) if role == 0 else (v_blocks, h_blocks)
+            n = across[cell[kept]]
+            at = np.repeat(kept, n)
+            k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            mine = (mix[row[at]] % here[cell[at]].astype(np.uint64)).astype(int)
+            i, j = (mine, k) if role == 0 else (k, mine)
+            for s in range(0, len(at), 20_000):
+                z = slice(s, s + 20_000)
+                r_ = row[at[z]]
+                yield pd.DataFrame({
+                    "cell": cell[at[z]].astype(np.int32), "i": i[z].astype(np.int32), "j": j[z].astype(np.int32),
+                    "role": np.where(own[at[z]], role, 2).astype(np.int32), "rep": b["rep"].to_numpy()[r_], "n": b["n"].to_numpy()[r_], "v": packed[r_],
+                })
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
-        is_home = b["home"].to_numpy(bool)
-        ids, weight, x = b["rep"].to_numpy(np.int64), b["n"].to_numpy(np.int64), _units(b["v"])
-        hx, vx = x[is_home], x[~is_home]
-        hid, vid, vn = ids[is_home], ids[~is_home], weight[~is_home]
-        links, a, c = np.zeros(len(hid), np.int64), [], []
-        for s in range(0, len(hid), 256):
-            near = hx[s : s + 256] @ vx.T >= cosine
-            near[hid[s : s + 256, None] == vid] = False
-            links[s : s + 256] = near @ vn
-            p, q = np.nonzero(near)
-            a.append(p + s)
-            c.append(q)
+        role, ids, weight = b["role"].to_numpy(), b["rep"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
+        x = _units(np.frombuffer(b"".join(b["v"]), dtype).reshape(len(b), -1))
+        is_home = role == 0
+        hx, vx, hid, vid, hn, vn = x[is_home], x[~is_home], ids[is_home], ids[~is_home], weight[is_home], weight[~is_home]
+        foreign = role[~is_home] == 2
+        h32, v32 = hx.astype(np.float32), vx.astype(np.float32).T.copy()
         every, place = np.unique(np.r_[hid, vid], return_inverse=True)
+        hp, vp = place[: len(hid)], place[len(hid) :]
+        h_links, v_links, a, c = np.zeros(len(hid), np.int64), np.zeros(len(vid), np.int64), [], []
+        for s in range(0, len(hid), 256):
+            rough = h32[s : s + 256] @ v32 >= cosine - _MARGIN
+            p, q = np.nonzero(rough)
+            if not len(p):
+                continue
+            if len(p) > rough.size // 50:
+                p, q = np.nonzero(rough & (hx[s : s + 256] @ vx.T >= cosine))
+            else:
+                fine = np.einsum("ij,ij->i", hx[p + s], vx[q]) >= cosine
+                p, q = p[fine], q[fine]
+            p += s
+            other = hid[p] != vid[q]
+            p, q = p[other], q[other]
+            np.add.at(h_links, p, vn[q])
+            away = foreign[q]
+            np.add.at(v_links, q[away], hn[p[away]])
+            root = local_roots(len(every), hp[p], vp[q])
+            off = np.flatnonzero(root != np.arange(len(root)))
+            a.append(off)
+            c.append(root[off])
         a, c = (np.concatenate(z) if z else np.zeros(0, int) for z in (a, c))
-        root = local_roots(len(every), place[: len(hid)][a], place[len(hid) :][c])
+        root = local_roots(len(every), a, c)
         off = np.flatnonzero(root != np.arange(len(root)))
+        who, links = np.r_[hid, vid], np.r_[h_links, v_links]
         got = np.flatnonzero(links)
-        return pd.DataFrame({"a": np.r_[hid[got], every[off]], "b": pd.array([None] * len(got) + every[root[off]].tolist(), "Int64"), "links": np.r_[links[got], np.zeros(len(off), np.int64)]})
+        return pd.DataFrame({
+            "a": np.r_[who[got], every[off]], "b": pd.array([None] * len(got) + every[root[off]].tolist(), "Int64"),
+            "links": np.r_[links[got], np.zeros(len(off), np.int64)],
+        })
 
-    kind = reps.schema["v"].dataType.simpleString()
-    units = reps.mapInPandas(route, f"cell int, i int, j int, home boolean, rep bigint, v {kind}, n bigint")
+    dtype = {"float": np.float32, "double": np.float64}[reps.schema["v"].dataType.elementType.simpleString()]
+    units = reps.mapInPandas(route, "cell int, i int, j int, role int, rep bigint, n bigint, v binary")
     return units.groupBy("cell", "i", "j").applyInPandas(join, "a bigint, b bigint, links bigint")
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, per_cell: int = 1000, block: int = 2048) -> DataFrame:
+def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, per_cell: int = 8192, block: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding)."""
     scratch = Scratch(spark, "vectors")
     base = vectors.select("vec_id", "embedding").withColumn("ok", valid("embedding"))
+    if base.schema["embedding"].dataType.elementType.simpleString() != "float":
+        base = base.withColumn("embedding", F.col("embedding").cast("array<double>"))
     size = base.where("ok").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").collect()
     copies = base.where("ok").groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     reps = scratch.keep(copies.select(F.monotonically_increasing_id().alias("rep"), F.col("embedding").alias("v"), "n", "first"), "reps")
