@@ -22,46 +22,67 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 PERIOD, COVER = 7, (0, 1, 3)
-_MEMO = 300_000
 
 
 class Hasher:
-    """64-bit hashes of words, remembered; and of runs of words."""
+    """64-bit hashes of runs of words, all runs of a text at once.
 
-    def __init__(self, length: int, seed: int):
-        self.memo: dict[bytes, int] = {}
-        self.length, self.seed = length, seed
+    A text's words joined by one space get prefix sums of byte codes times powers
+    of an odd base, modulo 2**64; a run's hash is the difference of two sums,
+    brought back to power 0 by the inverse power, and mixed. So a run costs three
+    array operations, whatever its length.
+    """
+
+    def __init__(self, seed: int):
         draw = np.random.default_rng(seed)
-        self.factors = draw.integers(1, 1 << 62, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def words(self, ws: list[bytes]) -> np.ndarray:
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        memo, out = self.memo, []
-        for w in ws:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = xxhash.xxh3_64_intdigest(w, self.seed)
-            out.append(h)
-        return np.array(out, np.uint64)
-
-    def runs(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        self.codes = draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(draw.integers(1 << 40, 1 << 62)) * 8 + 5
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        def powers(of: int) -> np.ndarray:
+            out = np.full(n, of, np.uint64)
+            out[0] = 1
+            return np.multiply.accumulate(out)
+
+        self.powers, self.inverses = powers(self.base), powers(self.inverse)
+
+    def runs(self, text: Words, starts: np.ndarray, length: int) -> np.ndarray:
         """Hash of the ``length`` words from each start."""
-        total = np.zeros(len(starts), np.uint64)
-        for k, f in enumerate(self.factors):
-            total += h[starts + k] * f
-        total ^= total >> np.uint64(29)
-        return total * np.uint64(0xBF58476D1CE4E5B9)
+        n = len(text.raw)
+        if len(self.powers) <= n:
+            self._grow(max(2 * n, 1 << 16))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.codes[text.raw] * self.powers[:n], out=sums[1:])
+        first, last = text.starts[starts], text.ends[starts + length - 1]
+        h = (sums[last] - sums[first]) * self.inverses[first]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+
+class Words:
+    """The words of a text, and where they are in the bytes of the text joined by one space."""
+
+    def __init__(self, raw: bytes | None):
+        self.list = raw.split() if raw else []
+        self.raw = np.frombuffer(b" ".join(self.list), np.uint8)
+        gaps = np.flatnonzero(self.raw == 32)
+        self.starts, self.ends = np.r_[0, gaps + 1], np.r_[gaps, len(self.raw)]
+
+    def __len__(self) -> int:
+        return len(self.list)
 
 
 def cover_positions(n: int, anchor: int) -> np.ndarray:
@@ -74,15 +95,15 @@ def _anchors(docs: DataFrame, anchor: int, with_place: bool) -> DataFrame:
     """(h, doc_id) of the anchors of every text, once a text; with th and place also where they are."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(anchor, 1)
+        hasher = Hasher(1)
         for b in it:
             ths = b.column("th").to_pylist() if with_place else None
             hs, ids, places, texts = [], [], [], []
             for row, (doc, raw) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("raw").to_pylist(), strict=True)):
-                ws = raw.split() if raw else []
-                at = cover_positions(len(ws), anchor)
+                text = Words(raw)
+                at = cover_positions(len(text), anchor)
                 if len(at) and doc is not None:
-                    h = hasher.runs(hasher.words(ws), at)
+                    h = hasher.runs(text, at, anchor)
                     if not with_place:
                         h = np.unique(h)
                     else:
@@ -105,18 +126,18 @@ def _windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """(w, x, doc_id, th, start) of every window that holds one of the row's ``places``; w and x are its hash."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hasher(window, 2), Hasher(window, 3)
+        one, two = Hasher(2), Hasher(3)
         for b in it:
             ws_, xs, ids, ths, starts = [], [], [], [], []
             rows = zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "places", "raw")), strict=True)
             for doc, th, places, raw in rows:
-                ws = raw.split()
+                text = Words(raw)
                 p = np.array(places, np.int64)
                 at = np.unique((p[:, None] - np.arange(window - anchor + 1)).ravel())
-                at = at[(at >= 0) & (at + window <= len(ws))]
+                at = at[(at >= 0) & (at + window <= len(text))]
                 if len(at):
-                    ws_.append(one.runs(one.words(ws), at))
-                    xs.append(two.runs(two.words(ws), at) >> np.uint64(33))
+                    ws_.append(one.runs(text, at, window))
+                    xs.append(two.runs(text, at, window) >> np.uint64(33))
                     starts.append(at)
                     ids.append(np.full(len(at), doc, np.int64))
                     ths.append(np.full(len(at), th, np.int64))
@@ -155,8 +176,12 @@ def kept_words(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(batches, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def repeated_starts(spark: SparkSession, docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, th, starts): the windows of a text that also start in a document with a smaller id."""
+def repeated_starts(spark: SparkSession, docs: DataFrame, window: int = 13, slices: int = 3) -> DataFrame:
+    """(doc_id, th, starts): the windows of a text that also start in a document with a smaller id.
+
+    Windows are compared in ``slices`` parts by their hash, one after another, so
+    that only a part's shuffle files are on disk at a time.
+    """
     anchor = window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"windows must have at least {PERIOD} words")
@@ -167,9 +192,19 @@ def repeated_starts(spark: SparkSession, docs: DataFrame, window: int = 13) -> D
     placed = scratch.keep(placed.groupBy("doc_id", "th").agg(F.collect_set("place").alias("places")), "places")
     texts = docs.select("doc_id", "th", F.col("text").cast("binary").alias("raw")).join(placed, ["doc_id", "th"])
     found = scratch.keep(_windows(texts, window, anchor), "windows")
+    scratch.drop(shared)
+    scratch.drop(placed)
+    parts = [scratch.keep(_again(found.where(F.pmod("w", F.lit(slices)) == k)), "starts") for k in range(slices)]
+    scratch.drop(found)
+    every = reduce(DataFrame.union, parts).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return every
+
+
+def _again(found: DataFrame) -> DataFrame:
+    """(doc_id, th, starts) of the windows that start in a smaller document too."""
     first = found.groupBy("w", "x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("w", "x", "a")
     again = found.join(first, ["w", "x"]).where("doc_id > a")
-    return scratch.keep(again.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts")), "starts")
+    return again.groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"))
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, window: int = 13) -> DataFrame:
