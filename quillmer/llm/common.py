@@ -7,7 +7,6 @@ losing an executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 #: Blank characters that separate words: space and the ASCII controls 9 to 13.
 BLANKS = r"[\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_DIR: list[str] = []
 
 
@@ -47,15 +47,21 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and return a reader of what was written.
 
-        The stage's shuffle files are released at once: its plan is done with.
+        The stage's shuffle files are removed at once (by Spark's own setting for
+        that, put back afterwards): its plan is done with.
         """
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         schema = df.schema
-        del df
-        gc.collect()
-        self.spark._jvm.System.gc()
         out = self.spark.read.schema(schema).parquet(path)
         out._quillmer_path = path
         return out
