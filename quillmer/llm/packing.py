@@ -25,41 +25,71 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SPLIT = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _MEMO = 400_000
+_ROWS = 128
+#: Marks that no rule of the tokenizer joins to a letter before them.
+_MARKS = (".", ",", ";", ":", "!", "?")
 
 
 class Ids:
-    """Ids of whole texts; ids of blank-separated chunks are remembered.
-
-    The tokenizer never merges across white space, so a text's ids are those of
-    its chunks in order. Texts that hold a special token's string, or characters
-    that are not ASCII blanks but white space to it, go to the tokenizer whole.
+    """Ids of whole texts, as little-endian 32-bit bytes; ids of chunks are remembered.
+
+    The tokenizer never merges across white space, nor a letter with the mark
+    after it, and ignores case; so a text's ids are those of its chunks in order.
+    Unknown chunks of letters are encoded together, in one call, and told apart
+    by the vocabulary's word ends. Texts that hold a special token's string, or a
+    letter whose lower case depends on its neighbours, or a control that only one
+    side takes for a blank, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, list[int]] = {}
-
-    def of(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        memo = self.memo
-        chunks = _SPLIT.split(text)
-        missing = [c for c in set(chunks) if c not in memo]
-        if missing:
-            if len(memo) > _MEMO:
-                memo.clear()
-                missing = list(set(chunks))
-            for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                memo[c] = e.ids
-        out: list[int] = []
-        for c in chunks:
-            out += memo[c]
-        return np.array(out, np.uint32)
+        whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(map(re.escape, [*whole, "\u0130", "\u03a3", "\x1c", "\x1d", "\x1e", "\x1f"])))
+        self.memo: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        cut = [None if self.whole.search(t) else t.lower().split() for t in texts]
+        if len(self.memo) > _MEMO:
+            self.memo.clear()
+        get = self._known(set().union(*(c for c in cut if c is not None))).__getitem__
+        return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _known(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of these chunks; of a word with a mark only the word is remembered."""
+        marked = [c for c in chunks if c[-1] in _MARKS and c[:-1].isalpha()]
+        base = chunks.difference(marked).union(c[:-1] for c in marked).union(_MARKS if marked else ())
+        self._learn(base.difference(self.memo))
+        known = {c: self.memo[c] for c in base}
+        known.update((c, known[c[:-1]] + known[c[-1]]) for c in marked)
+        return known
+
+    def _learn(self, other: set[str]) -> None:
+        plain = [c for c in other if c.isalpha()]
+        for i in range(0, len(plain), 2048):
+            part = plain[i : i + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(part):  # a letter here that is none to the tokenizer
+                self.memo.update(zip(part, self._encode(part), strict=True))
+                continue
+            raw = ids.tobytes()
+            first = np.r_[0, last[:-1]]
+            self.memo.update((c, raw[4 * x : 4 * y]) for c, x, y in zip(part, first.tolist(), last.tolist(), strict=True))
+        rest = [c for c in other if not c.isalpha()]
+        self.memo.update(zip(rest, self._encode(rest), strict=True))
+
+
+#: One a worker process and path: what was learnt serves all its tasks.
+_IDS: dict[str, Ids] = {}
 
 
 def cut(n: int, capacity: int, least: int) -> list[int]:
@@ -123,19 +153,23 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        ids = Ids(path)
+        if path not in _IDS:
+            _IDS[path] = Ids(path)
+        ids = _IDS[path]
         bins = Bins(capacity, TaskContext.get().partitionId() << 36)
-        doc_type = None
+        doc_type, end = None, end_id.to_bytes(4, "little")
         for b in it:
             out: list[tuple] = []
             doc_type = b.column("doc_id").type
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                got = np.append(ids.of(text or ""), np.uint32(end_id)).astype("<u4")
-                start = 0
-                for length in cut(len(got), capacity, least):
-                    crc = zlib.crc32(got[start : start + length].tobytes())
-                    out += bins.add(length, (doc, start, length, crc, len(got)))
-                    start += length
+            for i in range(0, b.num_rows, _ROWS):
+                part = b.slice(i, _ROWS)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for doc, raw in zip(part.column("doc_id").to_pylist(), ids.of(texts), strict=True):
+                    raw += end
+                    n, start = len(raw) // 4, 0
+                    for length in cut(n, capacity, least):
+                        out += bins.add(length, (doc, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n))
+                        start += length
             yield table(out, doc_type)
         for full in bins.rest():
             yield table(full, doc_type)
