@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+_STEP = 1 << 14
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -127,11 +128,14 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least: in
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of every record of a gzip archive."""
-    view = memoryview(content)
-    while len(view):
-        inflate = zlib.decompressobj(31)
-        raw = inflate.decompress(view)
-        view = view[len(view) - len(inflate.unused_data) :] if inflate.unused_data else view[:0]
+    at = 0
+    while at < len(content):
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof and at < len(content):  # small steps: what follows the member is handed back as a copy
+            step = content[at : at + _STEP]
+            parts.append(inflate.decompress(step))
+            at += len(step) - len(inflate.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
