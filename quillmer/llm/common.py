@@ -115,13 +115,13 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
 
     Alternates large-star and small-star passes, each an aggregate and a join on
     the node, until the set of links no longer changes (a logarithmic number of
-    passes). Joins carry many rows against one row a key, so a hot node is split
-    by adaptive execution. Nothing but two numbers a pass reaches the driver.
+    passes). Joins carry many rows against one row a key, and both sides are plain
+    shuffles, so a hot node is split by adaptive execution. Nothing but two numbers a pass reaches the driver.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both if large else both.where("b < a")
-        low = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = scratch.keep(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
         moved = near.where("b > a") if large else near
         out = moved.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:

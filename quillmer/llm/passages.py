@@ -194,15 +194,20 @@ def repeated_starts(spark: SparkSession, docs: DataFrame, window: int = 13, slic
     found = scratch.keep(_windows(texts, window, anchor), "windows")
     scratch.drop(shared)
     scratch.drop(placed)
-    parts = [scratch.keep(_again(found.where(F.pmod("w", F.lit(slices)) == k)), "starts") for k in range(slices)]
+    parts = [scratch.keep(_again(found.where(F.pmod("w", F.lit(slices)) == k), scratch), "starts") for k in range(slices)]
     scratch.drop(found)
     every = reduce(DataFrame.union, parts).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return every
 
 
-def _again(found: DataFrame) -> DataFrame:
-    """(doc_id, th, starts) of the windows that start in a smaller document too."""
+def _again(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, th, starts) of the windows that start in a smaller document too.
+
+    The least documents are a table of their own, so that both sides of the join
+    are plain shuffles and adaptive execution can split a hot window's rows.
+    """
     first = found.groupBy("w", "x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("w", "x", "a")
+    first = scratch.keep(first, "first")
     again = found.join(first, ["w", "x"]).where("doc_id > a")
     return again.groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"))
 
