@@ -2,10 +2,551 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import kmers
+from ..operators import content, genes, index, labels, nullmodel, reports, taxonomy
+from .fixtures import CUTOFF, MIN_KMERS, Fixtures, K
+from .sql import rc, windows, with_parts
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Fixtures], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
+        if sql:
+            _SQL[f.__name__] = with_parts(sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def r9(c: str):
+    return F.round(c, 9).alias(c)
+
+
+# ---- k-mers
+
+
+@query(f"select read_id, pos, kmer from ({windows('reads', 'read_id')})")
+def kmer_windows(f):
+    return kmers.canonical_windows(f.reads(), K, keep=("read_id",)).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(f"select distinct kmer from ({windows('genomes', 'tid')})")
+def kmer_canonical(f):
+    return kmers.canonical_windows(f.genomes(), K).select("kmer").distinct()
+
+
+_CODE = "list_reduce(list_transform(string_split(kmer, ''), lambda x: (strpos('acgt', x) - 1)::bigint), lambda a, b: a * 4 + b)"
+
+
+@query(f"select distinct kmer, {_CODE} as code from pairs")
+def kmer_encode(f):
+    return f.pairs().select("kmer").distinct().select("kmer", kmers.encode(F.col("kmer")).alias("code"))
+
+
+@query("select distinct kmer, kmer as decoded from pairs")
+def kmer_decode_roundtrip(f):
+    return f.pairs().select("kmer").distinct().select("kmer", kmers.decode(kmers.encode(F.col("kmer")), K).alias("decoded"))
+
+
+@query(f"select distinct kmer, {rc('kmer')} as other from pairs")
+def kmer_reverse_complement(f):
+    return f.pairs().select("kmer").distinct().select("kmer", kmers.reverse_complement(F.col("kmer")).alias("other"))
+
+
+@query("select read_id, kmer, pos from rkmers")
+def kmer_distinct_per_read(f):
+    return labels.read_kmers(f.reads(), K).select("read_id", "kmer", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("select read_id, count(*) as n_kmers from rkmers group by read_id")
+def kmer_distinct_count(f):
+    return labels.read_kmers(f.reads(), K).groupBy("read_id").agg(F.count("*").alias("n_kmers"))
+
+
+@query("select read_id, coalesce(valid, 0)::bigint as valid_kmers from reads left join bins using (read_id)")
+def kmer_valid_count(f):
+    return f.reads().select("read_id", kmers.valid_count(F.col("seq"), K).alias("valid_kmers"))
+
+
+@query("select read_id, gc_bin from reads left join bins using (read_id)")
+def kmer_gc_bin(f):
+    return f.reads().select("read_id", kmers.gc_bin(F.col("seq"), K).alias("gc_bin"))
+
+
+@query("select read_id, least(9, floor(length(regexp_replace(lower(seq), '[^gc]', '', 'g')) * 10 / length(seq)))::int as gc_bin from reads")
+def kmer_gc_bin_simple(f):
+    return f.reads().select("read_id", kmers.gc_bin_simple(F.col("seq")).alias("gc_bin"))
+
+
+@query("select substr(kmer, 1, 2) as prefix_kmer, count(distinct kmer) as n_kmers from pairs group by 1")
+def kmer_prefix_partition(f):
+    coded = f.pairs().select("kmer").distinct().select(kmers.prefix(kmers.encode(F.col("kmer")), K, 2).alias("p"))
+    return coded.groupBy(kmers.decode(F.col("p"), 2).alias("prefix_kmer")).agg(F.count("*").alias("n_kmers"))
+
+
+@query(f"""select read_id, pos, kmer from (select *, row_number() over (partition by read_id order by pos) - 1 as o
+  from ({windows('reads', 'read_id')})) where o % 5 = 0""")
+def kmer_every_nth(f):
+    return kmers.every_nth(f.reads(), K, 5, ("read_id",)).select("read_id", F.col("pos").cast("bigint").alias("pos"), "kmer")
+
+
+@query("select valid as n_windows, count(*) as n_reads from bins where valid >= 5 group by 1")
+def read_profile_hist(f):
+    n = kmers.valid_count(F.col("seq"), K)
+    return f.reads().select(n.alias("n_windows")).where("n_windows >= 5").groupBy("n_windows").agg(F.count("*").alias("n_reads"))
+
+
+@query("select b as bucket, count(*) as n_kmers from (select distinct kmer, (" + _CODE + ") % 16 as b from pairs) group by b")
+def kmer_bucket_counts(f):
+    code = kmers.encode(F.col("kmer"))
+    return f.pairs().select("kmer").distinct().groupBy(F.pmod(code, F.lit(16)).alias("bucket")).agg(F.count("*").alias("n_kmers"))
+
+
+@query(f"""select 8 as k, count(distinct kmer) as n_kmers from ({windows('genomes', 'tid', 8)})
+  union all select 10, count(distinct kmer) from ({windows('genomes', 'tid', 10)})""")
+def kmer_multi_k(f):
+    each = [kmers.canonical_windows(f.genomes(), k).agg(F.count_distinct("kmer").alias("n_kmers")).select(F.lit(k).alias("k"), "n_kmers") for k in (8, 10)]
+    return each[0].union(each[1])
+
+
+@query("select read_id, i as piece, substr(seq, 1 + 20 * i, 20) as seq from (select *, unnest(range(0, length(seq) // 20)) as i from reads)")
+def read_chop(f):
+    pieces = f.reads().select("read_id", F.posexplode(kmers.chop(F.col("seq"), 20)).alias("piece", "seq"))
+    return pieces.select("read_id", F.col("piece").cast("bigint").alias("piece"), "seq")
+
+
+@query("select a.read_id, a.seq || 'n' || b.seq as seq from reads a join reads b on b.read_id = a.read_id + 1 where a.read_id % 2 = 0")
+def read_mates(f):
+    a, b = f.reads().select("read_id", "seq"), f.reads().select((F.col("read_id") - 1).alias("read_id"), F.col("seq").alias("mate"))
+    return a.where("read_id % 2 = 0").join(b, "read_id").select("read_id", kmers.join_mates(F.col("seq"), F.col("mate")).alias("seq"))
+
+
+@query(f"""select w.read_id, round(count(i.kmer) / count(*), 9) as presence from ({windows('reads', 'read_id')}) w
+  left join (select distinct kmer from pairs) i using (kmer) group by w.read_id""")
+def kmer_presence_fraction(f):
+    w = kmers.canonical_windows(f.reads(), K, keep=("read_id",))
+    hit = w.join(f.pairs().select("kmer").distinct().withColumn("hit", F.lit(1)), "kmer", "left")
+    return hit.groupBy("read_id").agg(F.round(F.count("hit") / F.count("*"), 9).alias("presence"))
+
+
+# ---- taxonomy
+
+
+@query("select tid, coalesce(string_agg(node::varchar, ',' order by steps) filter (steps > 0), '') as path from up group by tid")
+def tax_path(f):
+    return f.tax().select("tid", F.array_join(F.transform("path", lambda t: t.cast("string")), ",").alias("path"))
+
+
+@query("select tid, depth from tax")
+def tax_depth(f):
+    return f.tax().select("tid", "depth")
+
+
+@query("select tid, exists (select 1 from up u where u.tid = n.tid and u.steps > 0 and u.node = 11) as below_11 from nodes n")
+def tax_is_ancestor(f):
+    return f.tax().select("tid", taxonomy.is_ancestor(F.col("path"), F.lit(11)).alias("below_11"))
+
+
+@query("select tid from up where node = 101 and steps > 0")
+def tax_descendants(f):
+    return taxonomy.descendants(f.tax(), 101).select("tid")
+
+
+@query("select tid, nrank from nrank")
+def tax_numeric_rank(f):
+    return taxonomy.numeric_rank(f.tax())
+
+
+@query("select tid, species from species")
+def tax_species_map(f):
+    return taxonomy.species_map(f.tax())
+
+
+@query("select tid, replace(rank, ' ', '_') as rank from nodes")
+def tax_rank_fallback(f):
+    return taxonomy.rank_or_parents(f.nodes())
+
+
+@query("select distinct node as tid from up where tid % 97 = 0")
+def tax_prune(f):
+    return taxonomy.prune(f.tax(), f.nodes().where("tid % 97 = 0").select("tid")).select("tid")
+
+
+@query("select tid, row_number() over (order by tid) as dense from nodes")
+def tax_dense_ids(f):
+    return taxonomy.dense_ids(f.nodes().select("tid"))
+
+
+@query("select max(tid) as max_tid, max(parent) as max_parent from nodes")
+def tax_max_ids(f):
+    return f.nodes().agg(F.max("tid").alias("max_tid"), F.max("parent").alias("max_parent"))
+
+
+@query("select u.tid, string_agg(m.name, chr(9) order by steps desc) as lineage from up u join nodes m on m.tid = u.node where m.rank <> 'no_rank' group by u.tid")
+def lineage_text(f):
+    return taxonomy.lineage(f.tax())
+
+
+# ---- index
+
+
+@query("select kmer, array_to_string(list_sort(list(tid)), ',') as tids from pairs group by kmer")
+def index_kmer_tids(f):
+    return index.lists(f.pairs()).select("kmer", F.array_join(F.transform("tids", lambda t: t.cast("string")), ",").alias("tids"))
+
+
+@query("""select n as list_length, count(*) as n_kmers, round(count(*) * 100.0 / sum(count(*)) over (), 9) as percent,
+  round(sum(count(*)) over (order by n) * 100.0 / sum(count(*)) over (), 9) as running_percent from (select kmer, count(*) as n from pairs group by kmer) group by n""")
+def index_list_length_dist(f):
+    return index.list_lengths(f.pairs())
+
+
+@query("select tid, count(*) as n_kmers, count(*) filter (n = 1) as n_single from pairs join (select kmer, count(*) as n from pairs group by kmer) using (kmer) group by tid")
+def index_tid_frequency(f):
+    return index.tid_frequency(f.pairs())
+
+
+@query("select kmer, tid from subtree")
+def index_lca_subtree(f):
+    return f.subtree()
+
+
+@query("select kmer, tid from pruned")
+def index_rank_pruned(f):
+    return f.pruned()
+
+
+@query("""with s as (select kmer, tid, count(*) over (partition by kmer) as n from pairs),
+  m as (select distinct kmer, case when n > 10 then coalesce(species, tid) else tid end as tid from s join species using (tid))
+  select distinct kmer, case when count(*) over (partition by kmer) > 10 then 1 else tid end as tid from m""".replace("with s as", "select * from (with s as") + ")")
+def index_strain_to_species(f):
+    return index.species_pruned(f.pairs(), taxonomy.species_map(f.tax()), CUTOFF)
+
+
+_FEED = "(select {dna} as seq)"
+
+
+def _feed_sql(text: str) -> str:
+    from .sql import dna
+
+    source = f"(select '{text}' as id, {dna(repr(text))} as seq)"
+    return f"select distinct kmer from ({windows(source, 'id')})"
+
+
+@query(f"select kmer, tid from pairs union select kmer, 9606 from ({_feed_sql('region:0')})")
+def index_human_merge(f):
+    return index.merge_human(f.pairs(), f.feed("region:0"))
+
+
+@query(f"""select kmer, tid from pairs where kmer not in ({_feed_sql('nation:3')})
+  union select kmer, 32630 from pairs where kmer in ({_feed_sql('nation:3')})""")
+def index_adaptor_override(f):
+    return index.override_adaptors(f.pairs(), f.feed("nation:3"))
+
+
+@query("select distinct kmer from pairs where kmer in (select kmer from rkmers)")
+def index_intersect(f):
+    return f.pairs().select("kmer").distinct().join(labels.read_kmers(f.reads(), K).select("kmer"), "kmer", "left_semi")
+
+
+@query("select distinct kmer from rkmers where kmer not in (select kmer from pairs)")
+def index_anti(f):
+    return labels.read_kmers(f.reads(), K).select("kmer").distinct().join(f.pairs(), "kmer", "left_anti")
+
+
+@query("select kmer, tid from pairs union select kmer, gid + 5000000 from gindex")
+def index_merge(f):
+    return index.merge_indexes(f.pairs().withColumn("tid", F.col("tid").cast("bigint")), f.gene_index().select("kmer", F.col("gid") + 5000000))
+
+
+@query("""select round((k * 8 + (p - s) * 4 + (k - s) * 4) / 1e9 + 2, 9) as size_gb from (select count(distinct kmer) as k, count(*) as p,
+  (select count(*) from (select kmer from pairs group by kmer having count(*) = 1)) as s from pairs)""")
+def index_size_estimate(f):
+    by = f.pairs().groupBy("kmer").agg(F.count("*").alias("n")).agg(F.count("*").alias("k"), F.sum("n").alias("p"), F.count_if(F.col("n") == 1).alias("s"))
+    return by.select(F.round((F.col("k") * 8 + (F.col("p") - F.col("s")) * 4 + (F.col("k") - F.col("s")) * 4) / 1e9 + 2, 9).alias("size_gb"))
+
+
+# ---- labels
+
+
+def _probs(f):
+    return f.probs()
+
+
+def _null(f):
+    bins = f.spark.range(10).select(F.col("id").cast("int").alias("gc_bin"))
+    cut = F.when(F.col("tid") % 11 == 0, F.lit(0.0)).otherwise(0.01 * (1 + F.col("tid") % 7) + 0.001 * F.col("gc_bin"))
+    return f.nodes().select("tid").crossJoin(F.broadcast(bins)).select("tid", "gc_bin", cut.alias("cutoff"))  # ten bins a taxon
+
+
+def _odds(f):
+    binned = f.reads().select("read_id", kmers.gc_bin(F.col("seq"), K).alias("gc_bin"))
+    return labels.log_odds(_probs(f).join(binned, "read_id"), _null(f), f.tax())
+
+
+def _outcome(f):
+    return labels.outcome(f.reads(), labels.top_taxon(_probs(f), f.tax()), K, MIN_KMERS)
+
+
+@query("select read_id, pos, tid from strict")
+def read_strict_taxa(f):
+    hits = labels.most_specific(labels.position_taxa(labels.read_kmers(f.reads(), K), f.pruned()), f.tax())
+    return hits.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query("select distinct read_id, pos, u.node as tid from hits0 join up u using (tid)")
+def read_permissive_taxa(f):
+    hits = labels.all_lineages(labels.position_taxa(labels.read_kmers(f.reads(), K), f.pruned()), f.tax())
+    return hits.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query("select read_id, tid, hits from probs")
+def read_taxon_hits(f):
+    return _probs(f).select("read_id", "tid", "hits")
+
+
+@query("select read_id, tid, n_kmers, round(prob, 9) as prob from probs")
+def read_label_prob(f):
+    return _probs(f).select("read_id", "tid", "n_kmers", r9("prob"))
+
+
+@query("select read_id, species, tid, n from repr")
+def read_representative_strain(f):
+    strict = labels.most_specific(labels.position_taxa(labels.read_kmers(f.reads(), K), f.pruned()), f.tax())
+    return labels.representative_strains(strict, f.tax())
+
+
+@query("select read_id, tid, round(score, 9) as score from odds")
+def read_log_odds(f):
+    return _odds(f).select("read_id", "tid", r9("score"))
+
+
+@query("select read_id, tid, round(random_prob, 9) as random_prob from odds")
+def read_class_running_max(f):
+    return _odds(f).select("read_id", "tid", r9("random_prob"))
+
+
+@query("select read_id, round(avg, 9) as avg, round(stdev, 9) as stdev, round(top, 9) as top from stats")
+def read_score_stats(f):
+    return labels.score_stats(_odds(f)).select("read_id", r9("avg"), r9("stdev"), r9("top"))
+
+
+@query("select read_id, tid, round(score, 9) as score from top")
+def read_top_taxon(f):
+    return labels.top_taxon(_probs(f), f.tax()).select("read_id", "tid", r9("score"))
+
+
+@query()
+def read_label_call(f):
+    scored = _odds(f)
+    return labels.call_reads(labels.candidates(scored, f.tax()).select("read_id", "top", "stdev", "cands"))
+
+
+@query("select reason, count(*) as n_reads from outcome where reason is not null group by reason")
+def nomatch_summary(f):
+    return labels.nomatch_summary(_outcome(f))
+
+
+@query("select tid, name, round(sum(score), 9) as wrc, count(*) as rc from outcome join nodes using (tid) where reason is null group by tid, name")
+def taxon_summary(f):
+    return labels.taxon_summary(_outcome(f), f.tax()).select("tid", "name", r9("wrc"), "rc")
+
+
+# ---- reports
+
+
+@query("""select n.rank, n.tid, n.name, round(sum(wrc), 9) as wrc, sum(rc)::bigint as rc, round(sum(wrc) / sum(rc), 9) as avg
+  from summary s join up u using (tid) join nodes n on n.tid = u.node where n.rank in ('species', 'genus', 'family') group by n.rank, n.tid, n.name""")
+def rank_report(f):
+    return reports.rank_report(f.summary(), f.tax(), ["species", "genus", "family"]).select("rank", "tid", "name", r9("wrc"), "rc", r9("avg"))
+
+
+@query("""select species, strain, round(wrc, 9) as wrc from (select species, tid as strain, wrc,
+  row_number() over (partition by species order by wrc desc, tid) as place from summary join species using (tid)) where place = 1""")
+def top_strain(f):
+    tidy = f.summary().withColumn("wrc", F.round("wrc", 9))
+    return reports.top_strains(tidy, f.tax())
+
+
+_SQL["top_strain"] = with_parts("""select species, strain, wrc from (select species, tid as strain, round(wrc, 9) as wrc,
+  row_number() over (partition by species order by round(wrc, 9) desc, tid) as place from summary join species using (tid)) where place = 1""")
+
+
+@query("""select u.node as tid, sum(rc)::bigint as rc, round(sum(rc) / (select sum(rc) from summary), 9) as freq
+  from summary join up u using (tid) join nodes n on n.tid = u.node where n.rank = 'genus' group by u.node""")
+def freq_at_rank(f):
+    return reports.frequencies(f.summary(), f.tax(), "genus").select("tid", "rc", r9("freq"))
+
+
+@query("""select tid, coalesce(sum(rc) filter (sample = 'A'), 0)::bigint as "A", coalesce(sum(rc) filter (sample = 'N'), 0)::bigint as "N",
+  coalesce(sum(rc) filter (sample = 'R'), 0)::bigint as "R" from samples s
+  where exists (select 1 from samples o where o.tid = s.tid and o.rc >= 10 and round(o.wrc / o.rc, 9) >= 0.04) group by tid""")
+def sample_taxon_pivot(f):
+    s = f.samples().withColumn("wrc", F.round(F.col("wrc") / F.col("rc"), 9) * F.col("rc"))
+    out = reports.sample_table(s, ["A", "N", "R"], 10, 0.04)
+    return out.select("tid", *[F.coalesce(c, F.lit(0)).alias(c) for c in "ANR"])
+
+
+@query("select tid, round(sum(wrc), 9) as wrc, sum(rc)::bigint as rc from samples group by tid")
+def combined_summary(f):
+    return reports.combine(f.samples()).select("tid", r9("wrc"), "rc")
+
+
+@query("""select coalesce(a.tid, b.tid) as tid, case when a.tid is null then 'second' when b.tid is null then 'first' else 'both' end as status
+  from (select tid from samples where sample = 'A') a full join (select tid from samples where sample = 'R') b on a.tid = b.tid""")
+def compare_summaries(f):
+    return reports.compare(f.samples().where("sample = 'A'"), f.samples().where("sample = 'R'"))
+
+
+@query("""select case when t.tid is null then 'missed' when t.tid = r.true_tid then 'found' else 'wrong' end as status, count(*) as n
+  from reads r left join top t using (read_id) group by 1""")
+def truth_check(f):
+    calls = labels.top_taxon(_probs(f), f.tax()).select("read_id", F.col("tid").cast("string").alias("name"))
+    return reports.truth_check(calls, f.reads().select("read_id", F.col("true_tid").cast("string").alias("name")))
+
+
+@query("""select (n.parent - 200) // 10 + 100 as main_tid, read_id, seq from outcome o join nodes n using (tid) join reads using (read_id)
+  where reason is null and score >= 0.5 and n.rank = 'strain'""")
+def pulled_reads(f):
+    strains = f.nodes().where("rank = 'strain'").select("tid", ((F.col("parent") - 200) / 10).cast("int").alias("g"))
+    groups = strains.select("tid", (F.col("g") + 100).alias("main_tid"))
+    out = _outcome(f).withColumn("match_type", F.lit(labels.DIRECT))
+    got = reports.pull_reads(f.reads(), out, groups, 0.5)
+    return got.select("main_tid", F.substring_index("header", ";", 1).cast("bigint").alias("read_id"), "seq")
+
+
+@query("""with seen as (select distinct u.node as tid from summary join up u using (tid)) select t.tid, t.depth,
+  repeat(chr(9), t.depth::int) || t.name || chr(9) || t.tid || chr(9) || coalesce(s.rc, 0) as line from tax t join seen using (tid) left join summary s on s.tid = t.tid
+  """.replace("with seen as", "select * from (with seen as") + ")")
+def tree_report(f):
+    return content.tree(f.summary(), f.tax()).select("tid", "depth", "line")
+
+
+# ---- genes
+
+
+@query("select read_id, gid, hits, round(gscore, 9) as gscore from gbest")
+def gene_best(f):
+    return genes.best_genes(f.gene_reads(), genes.gene_hits(f.gene_reads(), f.gene_index(), K), K).select("read_id", "gid", "hits", r9("gscore"))
+
+
+def _calls(f):
+    line = f.table("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_discount")
+    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), (F.col("l_suppkey") + 1000).alias("tid"), F.col("l_discount").alias("score"))
+
+
+_GTAXA = """select gid, tid, count(*) as rc, sum(gscore) as score_sum, count(*) filter (score >= 0.05) as rc_tax, coalesce(sum(gscore) filter (score >= 0.05), 0) as score_sum_tax
+  from gbest join (select l_orderkey * 10 + l_linenumber as read_id, 1000 + l_suppkey as tid, l_discount as score from lineitem) using (read_id)
+  where gscore > 0.1 and hits > 20 group by gid, tid"""
+
+
+def _gene_taxa(f):
+    best = genes.best_genes(f.gene_reads(), genes.gene_hits(f.gene_reads(), f.gene_index(), K), K)
+    return genes.gene_taxa(best, _calls(f), 0.1, 20, 0.05)
+
+
+@query(f"select gid, tid, rc, round(score_sum, 9) as score_sum, rc_tax, round(score_sum_tax, 9) as score_sum_tax from ({_GTAXA})")
+def gene_taxon_counts(f):
+    return _gene_taxa(f).select("gid", "tid", "rc", r9("score_sum"), "rc_tax", r9("score_sum_tax"))
+
+
+@query("select gid, n_kmers, sum_kmers from gcov")
+def gene_kmer_coverage(f):
+    hits = genes.gene_hits(f.gene_reads(), f.gene_index(), K)
+    return genes.gene_coverage(genes.best_genes(f.gene_reads(), hits, K), hits)
+
+
+@query(f"""select gid, tid, p_name as description, rc, round(score_sum / rc, 9) as avg, coalesce(n_kmers, 0) as n_kmers, gene_kmers,
+  round(coalesce(n_kmers, 0) / gene_kmers, 9) as coverage from ({_GTAXA}) join part on p_partkey = gid left join gcov using (gid)
+  join (select gid, count(*) as gene_kmers from gindex group by gid) using (gid)""")
+def gene_annotated(f):
+    hits = genes.gene_hits(f.gene_reads(), f.gene_index(), K)
+    cover = genes.gene_coverage(genes.best_genes(f.gene_reads(), hits, K), hits)
+    notes = f.table("part", "p_partkey", "p_name").select(F.col("p_partkey").alias("gid"), F.col("p_name").alias("description"))
+    totals = f.gene_index().groupBy("gid").agg(F.count("*").alias("n"))
+    out = genes.annotated(_gene_taxa(f), cover, notes, totals)
+    return out.select("gid", "tid", "description", "rc", r9("avg"), "n_kmers", "gene_kmers", r9("coverage"))
+
+
+@query(f"""select p_brand as function, sum(rc)::bigint as rc from ({_GTAXA}) join part on p_partkey = gid where p_brand <> '' group by 1""")
+def gene_functions(f):
+    proteins = f.table("part", "p_partkey").select(F.col("p_partkey").alias("gid"), F.col("p_partkey").cast("string").alias("protein"))
+    functions = f.table("part", "p_partkey", "p_brand").select(F.col("p_partkey").cast("string").alias("protein"), F.col("p_brand").alias("function"))
+    return genes.functions_table(_gene_taxa(f), proteins, functions)
+
+
+# ---- content
+
+
+_SPECTRUM = "select tid, k, cnt, count(*) as n_kmers from (" + " union all ".join(
+    f"select true_tid as tid, {k} as k, kmer, count(*) as cnt from ({windows('reads', 'true_tid', k)}) group by true_tid, kmer" for k in (8, 10)
+) + ") group by tid, k, cnt"
+
+
+def _spectrum(f):
+    return content.spectrum(f.reads().select("read_id", "seq"), f.reads().select("read_id", F.col("true_tid").alias("tid")), [8, 10])
+
+
+@query(_SPECTRUM)
+def kmer_spectrum(f):
+    return _spectrum(f)
+
+
+@query(f"""with s as ({_SPECTRUM}), w as (select *, lag(n_kmers) over p as before, lead(n_kmers) over p as after from s window p as (partition by tid, k order by cnt)),
+  l as (select tid, k, min(cnt) filter (before > n_kmers and after >= n_kmers) as low from w group by tid, k)
+  select w.tid, w.k, coalesce(min(cnt) filter (cnt > low and before < n_kmers and coalesce(after, -1) <= n_kmers), -1)::bigint as peak,
+  sum(n_kmers)::bigint as n_distinct, sum(n_kmers * cnt)::bigint as n_total from w join l on l.tid = w.tid and l.k = w.k group by w.tid, w.k""".replace("with s as", "select * from (with s as") + ")")
+def spectrum_peak(f):
+    return content.second_peak(_spectrum(f))
+
+
+@query(f"""select tid, median, n_distinct from (select true_tid as tid, count(*) as median, count(*) over (partition by true_tid) as n_distinct,
+  row_number() over (partition by true_tid order by count(*), kmer) - 1 as i from ({windows('reads', 'true_tid')}) group by true_tid, kmer) where i = n_distinct // 2""")
+def kmer_upper_median(f):
+    counted = kmers.canonical_windows(f.reads(), K, keep=("true_tid",)).groupBy(F.col("true_tid").alias("tid"), "kmer").agg(F.count("*").alias("cnt"))
+    return content.upper_median_multiplicity(counted)
+
+
+# ---- null model
+
+
+@query("select tid, gc_bin, round(max(prob), 9) as max_prob, count(*) as n from probs join bins using (read_id) group by tid, gc_bin")
+def null_model_bins(f):
+    binned = f.reads().select("read_id", kmers.gc_bin(F.col("seq"), K).alias("gc_bin"))
+    return nullmodel.observed(_probs(f).join(binned, "read_id")).select("tid", "gc_bin", r9("max_prob"), "n")
+
+
+@query("""with m as (select tid, tid * 1000 as kcnt, b as gc_bin, case when (tid + b) % 3 = 0 then 0 else 1 end as obs, 0.01 * (1 + (tid * b) % 7) as c
+    from nodes, (select unnest(range(0, 10)) as b) where tid < 500)
+  select tid, gc_bin, round(case when obs > 0 then c when kcnt >= 100000 then 0.5 else coalesce(greatest(
+    (select arg_max(o.c, o.gc_bin) from m o where o.tid = m.tid and o.obs > 0 and o.gc_bin < m.gc_bin),
+    (select arg_min(o.c, o.gc_bin) from m o where o.tid = m.tid and o.obs > 0 and o.gc_bin > m.gc_bin)), 0.5) end, 9)::double as cutoff from m""".replace("with m as", "select * from (with m as") + ")")
+def null_model_gap_fill(f):
+    bins = F.sequence(F.lit(0), F.lit(9))
+    model = f.nodes().where("tid < 500").select(
+        "tid", (F.col("tid") * 1000).alias("kcnt"), F.transform(bins, lambda b: F.when((F.col("tid") + b) % 3 == 0, 0).otherwise(1)).alias("obs"),
+        F.transform(bins, lambda b: 0.01 * (1 + (F.col("tid") * b) % 7)).alias("cutoff"),
+    )
+    flat = nullmodel.fill_gaps(model).select("tid", F.posexplode("cutoff").alias("gc_bin", "cutoff"))
+    return flat.select("tid", F.col("gc_bin").cast("bigint").alias("gc_bin"), r9("cutoff"))
+
+
+@query()
+def random_reads(f):
+    return nullmodel.random_reads(f.spark, 50, 60)
