@@ -16,7 +16,8 @@ is broadcast; a hot source just has more blocks. Sources are at most
 
 Defined results: null texts have no tokens; null sources form one source; a
 source without tokens gets weight 0 and its documents no copies; repeated rows
-are dealt alike and counted one by one; other columns are not read.
+are dealt alike and counted one by one; other columns are kept as they are (their
+names must not begin with ``mix_``).
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def bisect_exponent(tokens: dict, budget: float, target_entropy: float | None, r
 
 def mix(
     spark: SparkSession, docs: DataFrame, target_entropy: float | None = 0.97, repetition: float | None = 4.0, budget_share: float = 1.0,
-    block_tokens: int = 1 << 18, most_blocks: int = 1 << 16, most_sources: int = 10_000, seed: int = 7,
+    block_tokens: int = 1 << 18, most_blocks: int = 1 << 18, most_sources: int = 10_000, seed: int = 7,
 ) -> DataFrame:
     """docs with mix_tokens, mix_weight, mix_block and mix_copies (how often the row is taken)."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
@@ -81,25 +82,25 @@ def mix(
     weights = tempered(tokens, bisect_exponent(tokens, budget, target_entropy, repetition)) if total else {s: 0.0 for s in tokens}
     size = max(block_tokens, 2 * total // most_blocks)
     plan = [(s, weights[s], max(1, -(-n // size)), int(weights[s] * budget) // n if n else 0, int(weights[s] * budget) % n if n else 0) for s, n in tokens.items()]
-    sources = spark.createDataFrame(plan, "mix_source string, mix_weight double, blocks bigint, passes bigint, rest bigint")
+    sources = spark.createDataFrame(plan, "mix_source string, mix_weight double, mix_blocks bigint, mix_passes bigint, mix_rest bigint")
 
     dealt = rows.join(F.broadcast(sources), "mix_source")
     deal = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
-    dealt = dealt.withColumn("mix_deal", deal).withColumn("mix_block", F.pmod("mix_deal", "blocks"))
-    per_block = dealt.groupBy("mix_source", "mix_block", "rest").agg(F.sum("mix_tokens").alias("n"))
+    dealt = dealt.withColumn("mix_deal", deal).withColumn("mix_block", F.pmod("mix_deal", "mix_blocks"))
+    per_block = dealt.groupBy("mix_source", "mix_block", "mix_rest").agg(F.sum("mix_tokens").alias("mix_n"))
     order = Window.partitionBy("mix_source").orderBy(F.xxhash64(F.lit(seed + 1), "mix_source", "mix_block"), "mix_block")
-    upto = per_block.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    left = F.col("rest") - (F.col("upto") - F.col("n"))  # what the last pass still takes when it comes to the block
-    blocks = F.broadcast(upto.select("mix_source", "mix_block", left.alias("left"), F.col("n").alias("block_n")))
+    upto = per_block.withColumn("mix_upto", F.sum("mix_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    left = F.col("mix_rest") - (F.col("mix_upto") - F.col("mix_n"))  # what the last pass still takes when it comes to the block
+    blocks = F.broadcast(upto.select("mix_source", "mix_block", left.alias("mix_left"), "mix_n"))
 
     placed = dealt.join(blocks, ["mix_source", "mix_block"])
-    whole = (F.col("left") >= F.col("block_n")) | (F.col("left") <= 0)
+    whole = (F.col("mix_left") >= F.col("mix_n")) | (F.col("mix_left") <= 0)
     within = Window.partitionBy("mix_source", "mix_block").orderBy(F.xxhash64(F.lit(seed + 2), "mix_deal"), "mix_deal")
     so_far = F.sum("mix_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0))
     names = [*docs.columns, "mix_tokens", "mix_weight", "mix_block"]
-    easy = placed.where(whole).select(*names, (F.col("passes") + F.when(F.col("left") > 0, 1).otherwise(0)).alias("mix_copies"))
-    split = placed.where(~whole).withColumn("so_far", so_far)
-    hard = split.select(*names, (F.col("passes") + F.when(F.col("so_far") <= F.col("left"), 1).otherwise(0)).alias("mix_copies"))
+    easy = placed.where(whole).select(*names, (F.col("mix_passes") + F.when(F.col("mix_left") > 0, 1).otherwise(0)).alias("mix_copies"))
+    split = placed.where(~whole).withColumn("mix_so_far", so_far)
+    hard = split.select(*names, (F.col("mix_passes") + F.when(F.col("mix_so_far") <= F.col("mix_left"), 1).otherwise(0)).alias("mix_copies"))
     none = F.when(F.col("mix_tokens") > 0, F.col("mix_copies")).otherwise(0)
     return easy.unionByName(hard).withColumn("mix_copies", none.cast("bigint"))
 
