@@ -16,6 +16,7 @@ not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _MEMO = 400_000
-_ROWS = 128
+_ROWS = 512
 #: Marks that no rule of the tokenizer joins to a letter before them.
 _MARKS = (".", ",", ";", ":", "!", "?")
 
@@ -43,9 +44,14 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for words that are lower-case, composed and of letters alone: they need no normalising.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_only])
         whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(map(re.escape, [*whole, "\u0130", "\u03a3", "\x1c", "\x1d", "\x1e", "\x1f"])))
         self.memo: dict[str, bytes] = {}
@@ -76,7 +82,9 @@ class Ids:
         plain = [c for c in other if c.isalpha()]
         for i in range(0, len(plain), 2048):
             part = plain[i : i + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            joined = " ".join(part)
+            use = self.plain if unicodedata.is_normalized("NFC", joined) else self.tokenizer
+            ids = np.array(use.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(part):  # a letter here that is none to the tokenizer
                 self.memo.update(zip(part, self._encode(part), strict=True))
