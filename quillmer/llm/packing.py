@@ -16,6 +16,7 @@ not read.
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 
 _MEMO = 400_000
 _ROWS = 512
-#: Marks that no rule of the tokenizer joins to a letter before them.
-_MARKS = (".", ",", ";", ":", "!", "?")
+#: ASCII marks: a run of them after letters is a word of its own to the tokenizer.
+_MARKS = frozenset(string.punctuation)
 
 
 class Ids:
     """Ids of whole texts, as little-endian 32-bit bytes; ids of chunks are remembered.
 
-    The tokenizer never merges across white space, nor a letter with the mark
+    The tokenizer never merges across white space, nor a letter with the marks
     after it, and ignores case; so a text's ids are those of its chunks in order.
     Unknown chunks of letters are encoded together, in one call, and told apart
     by the vocabulary's word ends. Texts that hold a special token's string, or a
@@ -70,12 +71,13 @@ class Ids:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _known(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of these chunks; of a word with a mark only the word is remembered."""
-        marked = [c for c in chunks if c[-1] in _MARKS and c[:-1].isalpha()]
-        base = chunks.difference(marked).union(c[:-1] for c in marked).union(_MARKS if marked else ())
+        """The ids of these chunks; of letters with marks after them both parts are remembered, not the whole."""
+        marked = [(c, head, c[len(head) :]) for c in chunks if c[-1] in _MARKS and (head := c.rstrip(string.punctuation)).isalpha()]
+        base = chunks.difference([m[0] for m in marked])
+        base.update([m[1] for m in marked], [m[2] for m in marked])
         self._learn(base.difference(self.memo))
-        known = {c: self.memo[c] for c in base}
-        known.update((c, known[c[:-1]] + known[c[-1]]) for c in marked)
+        known = dict(zip(base, map(self.memo.__getitem__, base), strict=True))
+        known.update([(c, known[head] + known[tail]) for c, head, tail in marked])
         return known
 
     def _learn(self, other: set[str]) -> None:
