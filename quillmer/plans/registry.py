@@ -421,11 +421,10 @@ def truth_check(f):
     return reports.truth_check(calls, f.reads().select("read_id", F.col("true_tid").cast("string").alias("name")))
 
 
-@query("""select (n.parent - 200) // 10 + 100 as main_tid, read_id, seq from outcome o join nodes n using (tid) join reads using (read_id)
-  where reason is null and score >= 0.5 and n.rank = 'strain'""")
+@query("""select n.parent as main_tid, read_id, seq from outcome o join nodes n using (tid) join reads using (read_id)
+  where reason is null and score >= 0.5 and n.rank = 'species'""")
 def pulled_reads(f):
-    strains = f.nodes().where("rank = 'strain'").select("tid", ((F.col("parent") - 200) / 10).cast("int").alias("g"))
-    groups = strains.select("tid", (F.col("g") + 100).alias("main_tid"))
+    groups = f.nodes().where("rank = 'species'").select("tid", F.col("parent").alias("main_tid"))
     out = _outcome(f).withColumn("match_type", F.lit(labels.DIRECT))
     got = reports.pull_reads(f.reads(), out, groups, 0.5)
     return got.select("main_tid", F.substring_index("header", ";", 1).cast("bigint").alias("read_id"), "seq")

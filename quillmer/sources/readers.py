@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.taxonomy import closure
@@ -23,13 +23,25 @@ def read_genomes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(header, seq, qual) of FASTQ files with four lines a record. A record starts at ``@`` and its third line at ``+``."""
-    records = spark.read.option("lineSep", "\n@").text(paths).where(F.trim("value") != "")
-    lines = F.split(F.regexp_replace("value", "^@", ""), "\r?\n")
-    # a quality line may begin with @ and so be cut off: its record lacks a fourth line, and the piece after it has one line only
-    got = records.select(lines.alias("l")).where(F.size("l") >= 3)
-    qual = F.coalesce(F.get("l", F.lit(3)), F.lit(""))
-    return got.select(F.rtrim(F.get("l", F.lit(0))).alias("header"), F.get("l", F.lit(1)).alias("seq"), qual.alias("qual"))
+    """(header, seq, qual) of FASTQ files with four lines a record.
+
+    Any line but a header may begin with ``@`` or ``+``, so records are told by the
+    number of a line in its file: its place in its split and the lines of the
+    splits before. Large files are so read in parallel, with one small row a split
+    for the counts. Lines after the last whole record that are no header are left out.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    line = F.col("id") - F.col("first") + F.col("before")
+    numbered = lines.join(splits, ["file", "block"]).select("file", line.alias("line"), F.rtrim(F.rtrim("value", F.lit("\r"))).alias("value"))
+    at = lambda i: F.coalesce(F.max(F.when(F.col("line") % 4 == i, F.col("value"))), F.lit(""))
+    records = numbered.groupBy("file", F.expr("line div 4").alias("record")).agg(at(0).alias("header"), at(1).alias("seq"), at(3).alias("qual"))
+    return records.where(F.startswith("header", F.lit("@"))).select(F.substring("header", 2, 1 << 30).alias("header"), "seq", "qual")
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:

@@ -108,3 +108,20 @@ def test_index_store(spark, tmp_path):
     index.write_index(pairs, str(tmp_path / "i"), 3)
     got = {r["kmer"]: list(r["tids"]) for r in index.read_index(spark, str(tmp_path / "i")).collect()}
     assert got == {6: [5, 6], 63: [7]}
+
+
+def test_fastq_lines_that_look_like_headers(spark, tmp_path):
+    records = [(f"r{i} x", "acgt" * (i % 4), "@+I@"[i % 4 :] + "@" * (4 * (i % 4))) for i in range(300)]
+    for part, some in enumerate((records[:200], records[200:])):
+        text = "".join(f"@{h}\n{s}\n+{h}\n{q}\n" for h, s, q in some)
+        (tmp_path / f"{part}.fastq").write_text(text if part else text.replace("\n", "\r\n"))
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(key, "512")
+    try:
+        from quillmer.sources.readers import read_fastq
+
+        df = read_fastq(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        assert sorted(map(tuple, df.collect())) == sorted(records)
+    finally:
+        spark.conf.unset(key)
