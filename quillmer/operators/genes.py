@@ -33,11 +33,15 @@ def gene_taxa(best: DataFrame, calls: DataFrame, min_score: float, min_kmers: in
     )
 
 
-def gene_coverage(best: DataFrame, hits: DataFrame) -> DataFrame:
-    """(gid, n_kmers, sum_kmers): distinct and all occurrences of a gene's k-mers over the reads it is best for."""
-    own = hits.join(best.select("read_id", "gid"), ["read_id", "gid"], "left_semi")
-    per = own.groupBy("gid", "kmer").agg(F.sum("occurrences").alias("n"))
-    return per.groupBy("gid").agg(F.count("*").alias("n_kmers"), F.sum("n").alias("sum_kmers"))
+def gene_coverage(best: DataFrame, reads: DataFrame, gene_index: DataFrame, k: int) -> DataFrame:
+    """(gid, n_kmers, sum_kmers): distinct and all occurrences of a gene's k-mers over the reads it is best for.
+
+    A read's k-mers meet its best gene alone, not every gene that has them.
+    """
+    kmers = canonical_windows(reads, k, keep=("read_id",)).join(best.select("read_id", "gid"), "read_id")
+    per = kmers.groupBy("gid", "kmer").agg(F.count("*").alias("n"))
+    own = per.join(gene_index.select("gid", "kmer"), ["gid", "kmer"], "left_semi")
+    return own.groupBy("gid").agg(F.count("*").alias("n_kmers"), F.sum("n").alias("sum_kmers"))
 
 
 def annotated(taxa: DataFrame, coverage: DataFrame, annotation: DataFrame, totals: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import index, labels, taxonomy
+from ..operators import genes, index, labels, taxonomy
 
 K, CUTOFF, MIN_KMERS = 12, 10, 20
 _STORED: dict[tuple[str, str, str], str] = {}
@@ -110,8 +110,8 @@ class Fixtures:
         """(kmer, gid): genes share halves, so ties occur."""
         p = F.col("p_partkey")
         seq = F.concat(dna(F.concat(F.lit("gene:"), (p % 20).cast("string"))), dna(F.concat(F.lit("part:"), p.cast("string"))))
-        genes = self.table("part", "p_partkey").select(p.alias("tid"), seq.alias("seq"))
-        return index.kmer_taxa(genes, K).withColumnRenamed("tid", "gid")
+        parts = self.table("part", "p_partkey").select(p.alias("tid"), seq.alias("seq"))
+        return index.kmer_taxa(parts, K).withColumnRenamed("tid", "gid")
 
     def gene_reads(self) -> DataFrame:
         """(read_id, seq): pieces of the genes, cut at places that depend on the line."""
@@ -120,6 +120,11 @@ class Fixtures:
         seq = F.concat(dna(F.concat(F.lit("gene:"), (p % 20).cast("string"))), dna(F.concat(F.lit("part:"), p.cast("string"))))
         return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), seq.substr(F.col("l_orderkey") % 15 + 1, F.lit(40)).alias("seq"))
 
+    def gene_best(self) -> DataFrame:
+        """The best gene of every gene read."""
+        build = lambda: genes.best_genes(self.gene_reads(), genes.gene_hits(self.gene_reads(), self.gene_index(), K), K)
+        return self.stored("gene_best", build)
+
     def samples(self) -> DataFrame:
         """(sample, tid, wrc, rc): line items by return flag and customer."""
         line = self.table("lineitem", "l_orderkey", "l_returnflag", "l_discount")

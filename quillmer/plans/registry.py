@@ -442,7 +442,7 @@ def tree_report(f):
 
 @query("select read_id, gid, hits, round(gscore, 9) as gscore from gbest")
 def gene_best(f):
-    return genes.best_genes(f.gene_reads(), genes.gene_hits(f.gene_reads(), f.gene_index(), K), K).select("read_id", "gid", "hits", r9("gscore"))
+    return f.gene_best().select("read_id", "gid", "hits", r9("gscore"))
 
 
 def _calls(f):
@@ -456,8 +456,7 @@ _GTAXA = """select gid, tid, count(*) as rc, sum(gscore) as score_sum, count(*)
 
 
 def _gene_taxa(f):
-    best = genes.best_genes(f.gene_reads(), genes.gene_hits(f.gene_reads(), f.gene_index(), K), K)
-    return genes.gene_taxa(best, _calls(f), 0.1, 20, 0.05)
+    return genes.gene_taxa(f.gene_best(), _calls(f), 0.1, 20, 0.05)
 
 
 @query(f"select gid, tid, rc, round(score_sum, 9) as score_sum, rc_tax, round(score_sum_tax, 9) as score_sum_tax from ({_GTAXA})")
@@ -467,16 +466,14 @@ def gene_taxon_counts(f):
 
 @query("select gid, n_kmers, sum_kmers from gcov")
 def gene_kmer_coverage(f):
-    hits = genes.gene_hits(f.gene_reads(), f.gene_index(), K)
-    return genes.gene_coverage(genes.best_genes(f.gene_reads(), hits, K), hits)
+    return genes.gene_coverage(f.gene_best(), f.gene_reads(), f.gene_index(), K)
 
 
 @query(f"""select gid, tid, p_name as description, rc, round(score_sum / rc, 9) as avg, coalesce(n_kmers, 0) as n_kmers, gene_kmers,
   round(coalesce(n_kmers, 0) / gene_kmers, 9) as coverage from ({_GTAXA}) join part on p_partkey = gid left join gcov using (gid)
   join (select gid, count(*) as gene_kmers from gindex group by gid) using (gid)""")
 def gene_annotated(f):
-    hits = genes.gene_hits(f.gene_reads(), f.gene_index(), K)
-    cover = genes.gene_coverage(genes.best_genes(f.gene_reads(), hits, K), hits)
+    cover = genes.gene_coverage(f.gene_best(), f.gene_reads(), f.gene_index(), K)
     notes = f.table("part", "p_partkey", "p_name").select(F.col("p_partkey").alias("gid"), F.col("p_name").alias("description"))
     totals = f.gene_index().groupBy("gid").agg(F.count("*").alias("n"))
     out = genes.annotated(_gene_taxa(f), cover, notes, totals)
