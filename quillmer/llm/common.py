@@ -2,13 +2,17 @@
 
 Scratch tables replace lineage: a stage that is read more than once is written
 as Parquet under ``spark.checkpoint.dir`` (shared by driver and executors), so
-losing an executor costs a re-read and not a recomputation.
+losing an executor costs a re-read and not a recomputation. What a run still holds
+when the driver ends is deleted then.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,40 +31,60 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="quillmer-"))
     return _OWN_DIR[0]
 
 
+_LOCK, _WRITERS = threading.Lock(), [0, None]
+
+
+@contextmanager
+def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Spark's own removal of a finished plan's shuffle files, on while any writer is inside, then as before."""
+    with _LOCK:
+        if not _WRITERS[0]:
+            _WRITERS[1] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _WRITERS[0] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS[0] -= 1
+            if not _WRITERS[0]:
+                spark.conf.unset(_CLEANUP) if _WRITERS[1] is None else spark.conf.set(_CLEANUP, _WRITERS[1])
+
+
 class Scratch:
-    """Tables of one operator run, written once and read as often as needed."""
+    """Tables of one operator run, written once and read as often as needed.
+
+    Results are lazy, so tables that a result reads must outlive the run; the run's
+    folder is deleted when the driver's file system closes, at the end of the
+    session's JVM. Tables that nothing reads any more are dropped at once.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df and return a reader of what was written.
-
-        The stage's shuffle files are removed at once (by Spark's own setting for
-        that, put back afterwards): its plan is done with.
-        """
+        """Write df and return a reader of what was written; the shuffle files of its plan are done with."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with shuffle_cleanup(self.spark):
             df.write.parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, before)
         schema = df.schema
         out = self.spark.read.schema(schema).parquet(path)
         out._quillmer_path = path

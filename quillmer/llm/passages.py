@@ -6,8 +6,13 @@ in the cover. So two equal windows share an aligned anchor, 7 words that begin
 at a cover position in both documents and lie inside the window. Only anchors
 (3 of 7 positions) are hashed and shuffled; those that occur in one document
 alone are dropped. Around the others the match is extended: the (at most 7)
-windows that hold the anchor are compared by a 96-bit hash, exactly the contract's
-condition being "the least doc_id in which this window starts is smaller".
+windows that hold the anchor are compared, exactly the contract's condition being
+"the least doc_id in which this window starts is smaller".
+
+Anchors are told apart by cheap hashes: a collision there only brings a window to
+the comparison. Windows are told apart by their words' 128-bit BLAKE2 digest under
+a key drawn for the run, so no text can be built whose different windows meet; among
+10**14 windows two meet by chance with a probability of 2e-11.
 
 Texts are never shuffled for the search except to meet their own anchors; hot
 anchors and windows are reduced by partial aggregates before any shuffle, and the
@@ -15,12 +20,14 @@ joins back are many rows against one row a key.
 
 Defined results: null texts have no words; a row with a null id neither removes
 nor loses words; rows with one id are compared with other ids only; repeated
-rows are treated alike; other columns are not read.
+rows are treated alike; very long texts are taken whole; ids that are no integers
+are an error of the cast; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from functools import reduce
 
@@ -122,13 +129,19 @@ def _anchors(docs: DataFrame, anchor: int, with_place: bool) -> DataFrame:
     return source.mapInArrow(batches, shape)
 
 
-def _windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(w, x, doc_id, th, start) of every window that holds one of the row's ``places``; w and x are its hash."""
+def _windows(texts: DataFrame, window: int, anchor: int, key: bytes) -> DataFrame:
+    """(w, x, doc_id, th, start) of every window that holds one of the row's ``places``; w and x are its digest."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hasher(2), Hasher(3)
+        seeded = hashlib.blake2b(digest_size=16, key=key)
+
+        def digest(part: bytes) -> bytes:
+            h = seeded.copy()
+            h.update(part)
+            return h.digest()
+
         for b in it:
-            ws_, xs, ids, ths, starts = [], [], [], [], []
+            digests, ids, ths, starts = [], [], [], []
             rows = zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "places", "raw")), strict=True)
             for doc, th, places, raw in rows:
                 text = Words(raw)
@@ -136,18 +149,18 @@ def _windows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                 at = np.unique((p[:, None] - np.arange(window - anchor + 1)).ravel())
                 at = at[(at >= 0) & (at + window <= len(text))]
                 if len(at):
-                    ws_.append(one.runs(text, at, window))
-                    xs.append(two.runs(text, at, window) >> np.uint64(33))
+                    joined = text.raw.tobytes()
+                    digests += [digest(joined[s:e]) for s, e in zip(text.starts[at].tolist(), text.ends[at + window - 1].tolist(), strict=True)]
                     starts.append(at)
                     ids.append(np.full(len(at), doc, np.int64))
                     ths.append(np.full(len(at), th, np.int64))
-            cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
+            cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({
-                "w": cat(ws_, np.uint64).view(np.int64), "x": cat(xs, np.uint64).astype(np.int32), "doc_id": cat(ids, np.int64),
-                "th": cat(ths, np.int64), "start": cat(starts, np.int64).astype(np.int32),
+                "w": both[:, 0].copy(), "x": both[:, 1].copy(), "doc_id": cat(ids), "th": cat(ths), "start": cat(starts).astype(np.int32),
             })
 
-    return texts.mapInArrow(batches, "w bigint, x int, doc_id bigint, th bigint, start int")
+    return texts.mapInArrow(batches, "w bigint, x bigint, doc_id bigint, th bigint, start int")
 
 
 def kept_words(docs: DataFrame, window: int) -> DataFrame:
@@ -191,7 +204,7 @@ def repeated_starts(spark: SparkSession, docs: DataFrame, window: int = 13, slic
     placed = _anchors(docs, anchor, True).join(shared, "h", "left_semi")
     placed = scratch.keep(placed.groupBy("doc_id", "th").agg(F.collect_set("place").alias("places")), "places")
     texts = docs.select("doc_id", "th", F.col("text").cast("binary").alias("raw")).join(placed, ["doc_id", "th"])
-    found = scratch.keep(_windows(texts, window, anchor), "windows")
+    found = scratch.keep(_windows(texts, window, anchor, secrets.token_bytes(16)), "windows")
     scratch.drop(shared)
     scratch.drop(placed)
     parts = [scratch.keep(_again(found.where(F.pmod("w", F.lit(slices)) == k), scratch), "starts") for k in range(slices)]

@@ -8,19 +8,21 @@
    instance of score 0), an instance the noisy-or of its accepted patterns; a
    fixed number of rounds. Each round is two aggregates and two equi-joins over
    the graph, never over texts.
-4. Identifier-shaped instances after accepted patterns become spans of kind ``id``.
+4. Identifier-shaped instances after accepted patterns become spans of kind ``id``:
+   tokens without blanks or slashes, of ``least_chars`` characters and
+   ``least_digits`` digits at least, that are no dates. Identifiers written with
+   blanks, and tokens right after another token with a digit, are not found.
 
 Base spans are always kept. Counts and ``base_sha256`` describe base spans only.
 
 Defined results: null texts count as empty (no spans, the hash of the empty
 string); offsets are code points; rows with null or repeated ids are kept and
-treated by themselves; other columns are not read.
+treated by themselves; very long texts and contexts are taken whole; other columns
+are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-_TAIL = 96
+#: The last two words of a text that was turned round, from its first character on.
+CONTEXT = r"^\s++(\S++(?:\s++\S++)?)"
 
 
 def _digits(v: Column) -> Column:
@@ -67,7 +70,7 @@ def _matches(text: Column, pattern: str, guard: Column, kind: int) -> Column:
     """The matches of pattern as structs (kind, i, gap: code points since the last match, tail, value)."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(gaps.alias("g"), found.alias("v"))
-    tail = lambda g: F.regexp_extract(F.right(g, F.lit(_TAIL)), r"((?:\S+\s+)?\S+)\s+$", 1)
+    tail = lambda g: F.reverse(F.regexp_extract(F.reverse(g), CONTEXT, 1))  # noqa: E731  anchored, so linear in the gap
     made = F.transform(
         both,
         lambda x, i: F.struct(
@@ -104,14 +107,14 @@ def positioned(found: DataFrame) -> DataFrame:
     )
 
 
-def occurrences(spans: DataFrame) -> DataFrame:
+def occurrences(spans: DataFrame, least_chars: int = 8, least_digits: int = 4) -> DataFrame:
     """Identifier-shaped tokens with their patterns, and whether they overlap a base span (then they are seeds)."""
     w = Window.partitionBy("row").orderBy("start", "kind", "end")
     is_base = F.col("kind") < 4
     before = F.max(F.when(is_base, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.min(F.when(is_base, F.col("start"))).over(w.rowsBetween(0, Window.unboundedFollowing))
     seen = spans.where("kind is not null").withColumn("before", before).withColumn("after", after).where("kind = 4")
-    key = F.regexp_extract("value", r"^([^\s0-9=:]{1,40}[=:])", 1)
+    key = F.regexp_extract("value", r"^([^\s0-9=:]++[=:])", 1)
     lead = F.regexp_extract("rest", r"^[\"'(\[<{]*", 0)
     core = F.regexp_replace(F.col("rest").substr(F.char_length(F.col("lead")) + 1, F.char_length("rest")), r"[\"'.,;:!?)\]>}]+$", "")
     cut = (
@@ -123,7 +126,7 @@ def occurrences(spans: DataFrame) -> DataFrame:
     )
     digits = F.char_length(_digits(F.col("inst")))
     date = F.col("inst").rlike(r"^[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}")
-    shaped = F.col("seed") | ((F.char_length("inst") >= 10) & (digits >= 4) & ~date & ~F.contains("inst", F.lit("/")))
+    shaped = F.col("seed") | ((F.char_length("inst") >= least_chars) & (digits >= least_digits) & ~date & ~F.contains("inst", F.lit("/")))
     plain = F.regexp_replace(F.lower("tail"), "[0-9]", "0")
     patterns = F.array_distinct(F.filter(F.array(
         F.when(F.col("key") != "", F.concat(F.lit("k:"), F.lower("key"))),
@@ -209,7 +212,3 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
         same = docs.schema["n_chars"].dataType
         new["n_chars"] = F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.char_length(clean).cast(same))
     return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

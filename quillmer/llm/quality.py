@@ -8,8 +8,9 @@
 
 Defined results: a null text counts as empty; empty texts get a score as any
 other; repeated rows are scored alike; without labelled rows of both classes
-every score is the share of good labels (0.5 if there are none); other columns
-of the input are neither read nor needed; a null id passes through.
+every score is the share of good labels (0.5 if there are none); very long texts
+are measured whole; other columns of the input are neither read nor needed (none
+may begin with ``rule_``); a null id passes through.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out
 
@@ -92,10 +94,10 @@ class Rule:
             ok &= (x[:, f] > at) if above else (x[:, f] <= at)
         return ok
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         ok = F.lit(True)
         for f, above, at in self.terms:
-            c = F.col(STATISTICS[f])
+            c = F.col(prefix + STATISTICS[f])
             ok = ok & ((c > F.lit(at)) if above else (c <= F.lit(at)))
         return ok
 
@@ -161,10 +163,10 @@ class RuleEnsemble:
     rules: tuple[Rule, ...]
     intercept: float
 
-    def score(self) -> Column:
+    def score(self, prefix: str = "") -> Column:
         total = F.lit(self.intercept)
         for r in self.rules:
-            total = total + F.when(r.column(), F.lit(r.weight)).otherwise(F.lit(0.0))
+            total = total + F.when(r.column(prefix), F.lit(r.weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -189,11 +191,12 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample:
     """Fit on at most ``sample`` labelled rows (the one bound; it is a parameter).
 
     The sampled ids (16 bytes each, at most ``sample``) are broadcast; only
-    their statistics come to the driver.
+    their statistics come to the driver, ``sample`` rows at most even if ids repeat.
     """
     chosen = labelled_sample(labels, "quality", sample)
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
-    got = rows.join(F.broadcast(chosen), "doc_id").toPandas()
+    rows = rows.join(F.broadcast(chosen), "doc_id")
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", *STATISTICS).limit(sample).toPandas()
     got = got.sort_values(["doc_id", *STATISTICS])
     return fit_rules(got[list(STATISTICS)].to_numpy(float), got["y"].to_numpy(float))
 
@@ -212,14 +215,15 @@ def keep_quality(docs: DataFrame, model: RuleEnsemble, cut: float = 0.7) -> Data
 
     Statistics travel beside the row in the same Arrow batch, so that no join
     by id (and no shuffle of texts) is needed and repeated ids are no trouble.
+    The compiled rules judge them.
     """
+    names = [f"rule_{s}" for s in STATISTICS]
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             x = np.array([text_statistics((t or "").encode()) for t in b.column("text").to_pylist()], float)
             x = x.reshape(b.num_rows, len(STATISTICS))
-            total = np.full(b.num_rows, model.intercept)
-            for r in model.rules:
-                total += np.where(r.holds(x), r.weight, 0.0)
-            yield b.filter(pa.array(1 / (1 + np.exp(-total)) >= cut))
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, x.T)], [*b.schema.names, *names])
 
-    return docs.mapInArrow(batches, docs.schema)
+    shape = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    return docs.mapInArrow(batches, shape).where(model.score("rule_") >= cut).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -40,7 +40,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(spark, docs)
     return out.select(
         "doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"),
-        F.col("mix_block").alias("block"), F.col("mix_copies").alias("copies"),
+        F.col("mix_block").alias("block"), F.col("mix_place").alias("place"), F.col("mix_copies").alias("copies"),
     )
 
 

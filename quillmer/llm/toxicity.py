@@ -1,18 +1,23 @@
 """Toxicity by nearest labelled examples, in exact TF-IDF cosine.
 
-The term space is chosen on a bounded labelled sample: terms whose document
-frequency is clearly higher among toxic examples. Inverse document frequencies
-are counted over all documents. The labelled examples form an inverted index
-cut into blocks of examples; each term keeps the largest weight in each block,
-so a query skips every block whose bound is below its k-th best likeness. The
-found neighbours are exact. Their votes, weighted by likeness and shrunk to the
-share of toxic examples, give the score; the neighbours are the evidence.
-
-Defined results: null texts count as empty; a text without any chosen term
+The terms are all terms of a bounded labelled sample; none is left out. A term
+weighs (1 + ln count) * idf * relevance: document frequencies are counted over all
+documents, and relevance grows with the share of toxic texts among the examples
+that hold the term (1 for a term of clean examples alone). Terms outside the sample
+have no weight. The examples form an inverted index cut into blocks of examples;
+each term keeps its largest weight in each block, so blocks whose bound is below the
+k-th best likeness are skipped. Terms that an eighth of the examples hold have a full
+row instead of a list, and their sums are part of a block's bound. The found
+neighbours are exact. Their votes, weighted
+by likeness and shrunk to the share of toxic examples, give the score; the
+neighbours are the evidence.
+
+Defined results: null texts count as empty; a text without any term of the sample
 (empty texts too) gets the smoothed share of toxic examples among the examples
-without any; equal likenesses are taken by ascending example id; repeated rows
-are scored alike; without labelled rows of both classes every score is the share
-of toxic labels (0 if there are none); other columns are not read; null ids pass.
+without terms; equal likenesses are taken by ascending example id; repeated rows are
+scored alike; very long texts are scored whole; without labelled rows every score is
+0, with labels of one class all scores lie at that class; other columns are not read;
+null ids pass. Ids may be of any type that sorts.
 """
 
 from __future__ import annotations
@@ -20,10 +25,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,172 +37,192 @@ from .quality import labelled_sample
 
 _TERM = re.compile(r"\w+")
 _BLOCK = 64
+_FIRST = 4
+#: A term held by one in so many examples has a full row of weights.
+_COMMON = 8
 
 
-def terms_of(text: str | None, known: dict[str, int] | None = None) -> Counter:
-    """Counts of the lower-cased terms of a whole text, of known ones only if given."""
-    found = _TERM.findall((text or "").lower())
-    return Counter(found) if known is None else Counter([known[t] for t in found if t in known])
+def terms_of(text: str | None) -> Counter:
+    """Counts of the lower-cased terms of a whole text."""
+    return Counter(_TERM.findall((text or "").lower()))
+
+
+def known_counts(text: str | None, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the known terms of a text, and their counts."""
+    found = [(known[t], n) for t, n in terms_of(text).items() if t in known]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def relevance(holders: np.ndarray, toxic_holders: np.ndarray) -> np.ndarray:
+    """How much a term speaks for toxic examples, 1 at least: squared log of the ratio of toxic to clean holders."""
+    return np.log2(2 + toxic_holders / np.maximum(1, holders - toxic_holders)) ** 2
+
+
+def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All indices of the ranges one after another, and the range each comes from."""
+    n = ends - starts
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + starts[owner], owner
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings of unit vectors by term and block, with each block's largest weight."""
+    """Postings of unit vectors by term and block, with each block's largest weight.
+
+    Flat arrays: term t's blocks are ``block_of[at[t]:at[t + 1]]`` with bounds
+    ``most``; entry e of these has the postings ``first[e]:first[e + 1]`` of
+    ``example`` and ``weight``. ``row_of[t]`` is a common term's row of ``rows``, else -1.
+    """
 
-    ids: np.ndarray
+    ids: list
     toxic: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]
-    idf: np.ndarray
+    scale: np.ndarray
+    at: np.ndarray
+    block_of: np.ndarray
+    most: np.ndarray
+    first: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
+    row_of: np.ndarray
+    rows: np.ndarray
     rest: float
     share: float
-    blocks: int
-    cache: dict = field(default_factory=dict)
 
     @classmethod
-    def build(cls, ids: list[int], toxic: list[float], counts: list[dict[int, int]], idf: np.ndarray) -> BlockMaxIndex:
+    def build(cls, ids: list, toxic: list[float], counts: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray) -> BlockMaxIndex:
+        """Index the examples; counts are (terms, counts) of each, scale the weight of each term."""
         share = float(np.mean(toxic)) if len(toxic) else 0.0
-        none = [y for y, c in zip(toxic, counts, strict=True) if not c]
+        none = [y for y, c in zip(toxic, counts, strict=True) if not len(c[0])]
         rest = (sum(none) + share) / (len(none) + 1)
-        rows = [(max(c, key=lambda t: c[t] * idf[t]), i, y, c) for i, y, c in zip(ids, toxic, counts, strict=True) if c]
-        rows.sort(key=lambda r: (r[0], len(r[3]), r[1]))  # alike examples share blocks, so bounds are tight
-        post: dict[int, list[tuple[int, float]]] = {}
-        for n, (_, _, _, c) in enumerate(rows):
-            for t, w in unit(c, idf).items():
-                post.setdefault(t, []).append((n, w))
-        postings = []
-        for t in range(len(idf)):
-            at = np.array([p[0] for p in post.get(t, [])], int)
-            w = np.array([p[1] for p in post.get(t, [])])
-            heads = np.unique(at // _BLOCK)
-            parts = [(at[at // _BLOCK == b], w[at // _BLOCK == b]) for b in heads]
-            postings.append((heads, np.array([p[1].max() for p in parts]), parts))
-        return cls(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), postings, idf, rest, share, -(-len(rows) // _BLOCK))
-
-    def nearest(self, counts: dict[int, int], k: int) -> list[tuple[float, int]]:
-        """(likeness, example) of the k nearest, exact; ties by example id."""
-        q = unit(counts, self.idf)
-        bound = np.zeros(self.blocks)
-        for t, w in q.items():
-            bound[self.postings[t][0]] += w * self.postings[t][1]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            sums = np.zeros(_BLOCK)
-            for t, w in q.items():
-                heads, _, parts = self.postings[t]
-                i = np.searchsorted(heads, b)
-                if i < len(heads) and heads[i] == b:
-                    sums[parts[i][0] - b * _BLOCK] += w * parts[i][1]
-            hits = np.flatnonzero(sums > 0)
-            best = sorted(best + [(-round(float(sums[h]), 12), int(self.ids[b * _BLOCK + h]), int(b * _BLOCK + h)) for h in hits])[:k]
-        return [(-b[0], b[2]) for b in best]
-
-    def score(self, counts: dict[int, int], k: int, shrink: float) -> tuple[float, list[int]]:
-        """Score from 0 to 1 and the ids of the neighbours that voted."""
-        if not counts or not len(self.ids):
+        units = [unit(t, n, scale) for t, n in counts]
+        order = sorted(range(len(ids)), key=lambda i: ids[i])
+        place = {i: k for k, i in enumerate(order)}
+        held = [i for i in order if len(counts[i][0])]
+        # Alike examples share blocks (by their heaviest term), so bounds are tight.
+        held.sort(key=lambda i: (int(counts[i][0][units[i].argmax()]), len(units[i]), place[i]))
+        sizes = [len(units[i]) for i in held]
+        cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
+        term, w = cat([counts[i][0] for i in held], np.int64), cat([units[i] for i in held], float)
+        row = np.repeat(np.arange(len(held)), sizes).astype(np.int64)
+        common = np.flatnonzero(np.bincount(term, minlength=len(scale)) * _COMMON >= max(len(held), 1))
+        row_of = np.full(len(scale), -1)
+        row_of[common] = np.arange(len(common))
+        full, listed = np.zeros((len(common), len(held))), row_of[term] < 0
+        full[row_of[term[~listed]], row[~listed]] = w[~listed]
+        term, row, w = term[listed], row[listed], w[listed]
+        by = np.lexsort((row, term))
+        term, row, w = term[by], row[by], w[by]
+        block = row // _BLOCK
+        new = np.flatnonzero(np.r_[len(term) > 0, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+        return cls(
+            [ids[i] for i in held], np.array([toxic[i] for i in held], float), scale, np.searchsorted(term[new], np.arange(len(scale) + 1)),
+            block[new], np.maximum.reduceat(w, new) if len(new) else np.zeros(0), np.r_[new, len(term)].astype(np.int64), row, w, row_of, full, rest, share,
+        )
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Likenesses and examples of the k nearest with any likeness, exact; of equals the smaller ids."""
+        q = unit(terms, counts, self.scale)
+        row = self.row_of[terms]
+        sums = q[row >= 0] @ self.rows[row[row >= 0]]
+        terms, q = terms[row < 0], q[row < 0]
+        entry, owner = _spread(self.at[terms], self.at[terms + 1])
+        block, w = self.block_of[entry], q[owner]
+        bound = np.maximum.reduceat(sums, np.arange(0, len(sums), _BLOCK))
+        bound += np.bincount(block, w * self.most[entry], minlength=len(bound))
+
+        def fill(wanted: np.ndarray) -> None:
+            on = wanted[block]
+            post, of = _spread(self.first[entry[on]], self.first[entry[on] + 1])
+            np.add(sums, np.bincount(self.example[post], w[on][of] * self.weight[post], minlength=len(sums)), out=sums)
+
+        lead = np.zeros(len(bound), bool)
+        lead[np.argsort(-bound, kind="stable")[:_FIRST]] = True
+        fill(lead)
+        least = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
+        fill(~lead & (bound > 0) & (bound >= least - 1e-9))
+        sums = np.round(sums, 12)
+        hits = np.flatnonzero(sums > 0)
+        if len(hits) > k:
+            hits = hits[sums[hits] >= np.partition(sums[hits], -k)[-k]]
+        best = sorted(hits.tolist(), key=lambda h: (-sums[h], self.ids[h]))[:k]
+        return sums[best], np.array(best, int)
+
+    def score(self, terms: np.ndarray, counts: np.ndarray, k: int, shrink: float) -> tuple[float, list]:
+        """Score from 0 to 1 and the ids of the first neighbours that voted."""
+        if not len(terms) or not len(self.ids):
             return self.rest, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.cache:
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            near = self.nearest(counts, k)
-            like, at = np.array([n[0] for n in near]), [n[1] for n in near]
-            votes = float((like * self.toxic[at]).sum() + shrink * self.share) / float(like.sum() + shrink)
-            self.cache[key] = (votes, [int(self.ids[a]) for a in at[:3]])
-        return self.cache[key]
-
+        like, near = self.nearest(terms, counts, k)
+        votes = float((like * self.toxic[near]).sum() + shrink * self.share) / float(like.sum() + shrink)
+        return votes, [self.ids[n] for n in near[:3]]
 
-def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    raw = {t: (1 + np.log(n)) * idf[t] for t, n in counts.items()}
-    norm = np.sqrt(sum(w * w for w in raw.values())) or 1.0
-    return {t: w / norm for t, w in raw.items()}
 
-
-def choose_terms(sample: DataFrame, most: int, least_share: float = 0.015, least_lift: float = 3.0, least_chi2: float = 12.0) -> list[str]:
-    """The terms that mark toxic examples, by chi-squared over distinct (y, text) rows; at most ``most``.
-
-    A term must occur in at least ``least_share`` of the toxic examples (and in
-    three), be ``least_lift`` times as frequent there, and pass the test.
-    """
-    sample = sample.groupBy("text").agg(F.max("y").alias("y"))
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            tally: dict[str, list[int]] = {}
-            for y, text in zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for t in terms_of(text):
-                    tally.setdefault(t, [0, 0])[y > 0.5] += 1
-            yield pa.RecordBatch.from_pydict({"term": list(tally), "clean": [c[0] for c in tally.values()], "toxic": [c[1] for c in tally.values()]}, schema)
-
-    schema = pa.schema([("term", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
-    sizes = sample.agg(F.count_if(F.col("y") > 0.5), F.count_if(F.col("y") <= 0.5)).first()
-    n1, n0 = F.lit(float(sizes[0])), F.lit(float(sizes[1]))
-    by = sample.mapInArrow(batches, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    a, b = F.col("t"), F.col("c")
-    lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    chi2 = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n1 + n0 - a - b + 1) * n1 * n0)
-    kept = by.where((a >= F.greatest(F.lit(3.0), least_share * n1)) & (lift >= least_lift) & (chi2 >= least_chi2)).orderBy(F.desc(chi2), "term").limit(most)
-    return sorted(r["term"] for r in kept.select("term").collect())
+def unit(terms: np.ndarray, counts: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    raw = (1 + np.log(counts)) * scale[terms]
+    return raw / (np.sqrt((raw * raw).sum()) or 1.0)
 
 
 def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each known term occurs, and their number."""
+    """In how many of all documents each known term occurs, and their number; one sum a term and task is shuffled."""
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known) + 1, np.int64)
         for b in it:
             for text in b.column("text").to_pylist():
-                total[list(terms_of(text, known))] += 1
+                total[[known[t] for t in set(_TERM.findall((text or "").lower())) if t in known]] += 1
             total[-1] += b.num_rows
-        yield pa.RecordBatch.from_pydict({"term": np.arange(len(total)), "n": total})
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": some, "n": total[some]})
 
-    got = docs.select("text").mapInArrow(batches, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    got = docs.select("text").mapInArrow(batches, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(known) + 1)
-    for r in got:
-        df[r["term"]] = r["n"]
+    df[got.column("term").to_numpy()] = got.column("n").to_numpy()
     return df[:-1], int(df[-1])
 
 
-def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 6000, most_terms: int = 400) -> tuple[BlockMaxIndex, dict[str, int]]:
-    """The index over at most ``sample`` labelled examples (a parameter), and the chosen terms.
+def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 6000) -> tuple[BlockMaxIndex, dict[str, int]]:
+    """The index over at most ``sample`` labelled examples (the one bound; a parameter), and the numbers of its terms.
 
     Only the sampled ids (a bounded set) are broadcast; only term counts of the
-    sampled texts and one number a chosen term come to the driver.
+    sampled texts and one number a term of theirs come to the driver.
     """
     chosen = labelled_sample(labels, "toxic", sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    known = {t: i for i, t in enumerate(choose_terms(texts, most_terms))}
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("th", F.xxhash64("text"))
+    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "th", "y").limit(sample)  # repeated ids don't add to it
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.list_(pa.string()), pa.list_(pa.int64()))
         for b in it:
-            counts = [terms_of(t, known) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("y"), pa.array([list(c) for c in counts], pa.list_(pa.int64())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))],
-                ["doc_id", "y", "t", "n"],
-            )
+            counts = [terms_of(t) for t in b.column("text").to_pylist()]
+            lists = [pa.array([list(c) for c in counts], kinds[0]), pa.array([list(c.values()) for c in counts], kinds[1])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("th"), *lists], ["doc_id", "y", "th", "t", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("doc_id", "y", "text").mapInArrow(batches, f"doc_id {kind}, y double, t array<bigint>, n array<bigint>").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["t"], r["n"]))
+    rows = texts.mapInArrow(batches, f"doc_id {kind}, y double, th bigint, t array<string>, n array<bigint>").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["th"], r["y"]))
+    known = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["t"]}))}
+    counts = [(np.array([known[t] for t in r["t"]], np.int64), np.array(r["n"], np.int64)) for r in rows]
+    holders, toxic = np.zeros(len(known)), np.zeros(len(known))
+    for at, r in {r["th"]: (c[0], r) for r, c in zip(rows, counts, strict=True)}.values():  # each text once
+        holders[at] += 1
+        toxic[at] += r["y"] > 0.5
     df, n = document_frequencies(docs, known) if known else (np.zeros(0), 0)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    return BlockMaxIndex.build([r["doc_id"] for r in rows], [r["y"] for r in rows], [dict(zip(r["t"], r["n"], strict=True)) for r in rows], idf), known
+    scale = (np.log((n + 1) / (df + 1)) + 1) * relevance(holders, toxic)
+    return BlockMaxIndex.build([r["doc_id"] for r in rows], [r["y"] for r in rows], counts, scale), known
 
 
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex, known: dict[str, int], cut: float = 0.3, k: int = 15, shrink: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (ids of the nearest examples) of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [index.score(terms_of(t, known), k, shrink) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))],
-                ["doc_id", "score", "evidence"],
-            )
+            ids = b.column("doc_id")
+            got = [index.score(*known_counts(t, known), k, shrink) for t in b.column("text").to_pylist()]
+            columns = [ids, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(ids.type))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, score double, evidence array<bigint>")
+    scored = docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, score double, evidence array<{kind}>")
     return scored.select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= cut).cast("int").alias("predicted"), "evidence",

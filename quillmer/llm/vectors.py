@@ -54,11 +54,15 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * x @ pivots.T, 0))
 
 
-def range_units(spark: SparkSession, reps: DataFrame, cosine: float, per_cell: int, block: int) -> DataFrame:
-    """Links among reps (rep, v, n): rows (a, b, links): per unit, a's links there, or b its smallest linked vector."""
+def range_units(spark: SparkSession, reps: DataFrame, cosine: float, per_cell: int, block: int, most_pivots: int) -> DataFrame:
+    """Links among reps (rep, v, n): rows (a, b, links): per unit, a's links there, or b its smallest linked vector.
+
+    ``most_pivots`` bounds what the driver and every closure hold (the pivots and
+    their distances). Beyond it cells grow; their blocks, the units of work, don't.
+    """
     r = float(np.sqrt(2 - 2 * cosine))
     n = reps.count()
-    chosen = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(max(1, -(-n // per_cell)))
+    chosen = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(min(most_pivots, max(1, -(-n // per_cell))))
     pivots = chosen.toPandas()
     if not len(pivots):
         return spark.createDataFrame([], "a bigint, b bigint, links bigint")
@@ -167,7 +171,7 @@ def range_units(spark: SparkSession, reps: DataFrame, cosine: float, per_cell: i
     return units.groupBy("cell", "i", "j").applyInPandas(join, "a bigint, b bigint, links bigint")
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, per_cell: int = 8192, block: int = 8192) -> DataFrame:
+def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, per_cell: int = 8192, block: int = 8192, most_pivots: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding)."""
     scratch = Scratch(spark, "vectors")
     base = vectors.select("vec_id", "embedding").withColumn("ok", valid("embedding"))
@@ -178,7 +182,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, p
     reps = scratch.keep(copies.select(F.monotonically_increasing_id().alias("rep"), F.col("embedding").alias("v"), "n", "first"), "reps")
     found = None
     for d in (x["d"] for x in size):  # lengths differ only in faulty inputs
-        part = range_units(spark, reps.where(F.size("v") == d).select("rep", "v", "n"), cosine, per_cell, block)
+        part = range_units(spark, reps.where(F.size("v") == d).select("rep", "v", "n"), cosine, per_cell, block, most_pivots)
         found = part if found is None else found.union(part)
     if found is None:
         found = spark.createDataFrame([], "a bigint, b bigint, links bigint")
