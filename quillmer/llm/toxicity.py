@@ -90,21 +90,24 @@ class BlockMaxIndex:
     share: float
 
     @classmethod
-    def build(cls, ids: list, toxic: list[float], counts: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray) -> BlockMaxIndex:
-        """Index the examples; counts are (terms, counts) of each, scale the weight of each term."""
+    def build(cls, ids: list, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, scale: np.ndarray) -> BlockMaxIndex:
+        """Index the examples; (row, term, count) are the terms of all, by ascending row, scale the weight of each term."""
         share = float(np.mean(toxic)) if len(toxic) else 0.0
-        none = [y for y, c in zip(toxic, counts, strict=True) if not len(c[0])]
-        rest = (sum(none) + share) / (len(none) + 1)
-        units = [unit(t, n, scale) for t, n in counts]
-        order = sorted(range(len(ids)), key=lambda i: ids[i])
-        place = {i: k for k, i in enumerate(order)}
-        held = [i for i in order if len(counts[i][0])]
+        sizes = np.bincount(row, minlength=len(ids))
+        rest = float((toxic[sizes == 0].sum() + share) / ((sizes == 0).sum() + 1))
+        w = (1 + np.log(count)) * scale[term]
+        norm = np.sqrt(np.bincount(row, w * w, minlength=len(ids)))
+        w = w / np.where(norm > 0, norm, 1)[row]
         # Alike examples share blocks (by their heaviest term), so bounds are tight.
-        held.sort(key=lambda i: (int(counts[i][0][units[i].argmax()]), len(units[i]), place[i]))
-        sizes = [len(units[i]) for i in held]
-        cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-        term, w = cat([counts[i][0] for i in held], np.int64), cat([units[i] for i in held], float)
-        row = np.repeat(np.arange(len(held)), sizes).astype(np.int64)
+        by = np.lexsort((term, -w, row))
+        held = np.flatnonzero(sizes)
+        heaviest = term[by][np.searchsorted(row[by], held)]
+        rank = np.empty(len(held), np.int64)
+        rank[sorted(range(len(held)), key=lambda i: ids[held[i]])] = np.arange(len(held))
+        held = held[np.lexsort((rank, sizes[held], heaviest))]
+        place = np.full(len(ids), -1)
+        place[held] = np.arange(len(held))
+        row = place[row]
         common = np.flatnonzero(np.bincount(term, minlength=len(scale)) * _COMMON >= max(len(held), 1))
         row_of = np.full(len(scale), -1)
         row_of[common] = np.arange(len(common))
@@ -116,8 +119,8 @@ class BlockMaxIndex:
         block = row // _BLOCK
         new = np.flatnonzero(np.r_[len(term) > 0, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
         return cls(
-            [ids[i] for i in held], np.array([toxic[i] for i in held], float), scale, np.searchsorted(term[new], np.arange(len(scale) + 1)),
-            block[new], np.maximum.reduceat(w, new) if len(new) else np.zeros(0), np.r_[new, len(term)].astype(np.int64), row, w, row_of, full, rest, share,
+            [ids[i] for i in held], toxic[held], scale, np.searchsorted(term[new], np.arange(len(scale) + 1)), block[new].astype(np.int32),
+            np.maximum.reduceat(w, new) if len(new) else np.zeros(0), np.r_[new, len(term)].astype(np.int32), row.astype(np.int32), w, row_of, full, rest, share,
         )
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +183,7 @@ def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.nda
     return df[:-1], int(df[-1])
 
 
-def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 6000) -> tuple[BlockMaxIndex, dict[str, int]]:
+def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 4000) -> tuple[BlockMaxIndex, dict[str, int]]:
     """The index over at most ``sample`` labelled examples (the one bound; a parameter), and the numbers of its terms.
 
     Only the sampled ids (a bounded set) are broadcast; only term counts of the
@@ -198,17 +201,22 @@ def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("th"), *lists], ["doc_id", "y", "th", "t", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(batches, f"doc_id {kind}, y double, th bigint, t array<string>, n array<bigint>").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["th"], r["y"]))
-    known = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["t"]}))}
-    counts = [(np.array([known[t] for t in r["t"]], np.int64), np.array(r["n"], np.int64)) for r in rows]
-    holders, toxic = np.zeros(len(known)), np.zeros(len(known))
-    for at, r in {r["th"]: (c[0], r) for r, c in zip(rows, counts, strict=True)}.values():  # each text once
-        holders[at] += 1
-        toxic[at] += r["y"] > 0.5
+    got = texts.mapInArrow(batches, f"doc_id {kind}, y double, th bigint, t array<string>, n array<bigint>").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("th", "ascending"), ("y", "ascending")]).combine_chunks()
+    sizes = np.array([len(x) for x in got.column("t")], np.int64)
+    words = pa.chunked_array([c.flatten() for c in got.column("t").chunks], pa.string()).combine_chunks().dictionary_encode()
+    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+    term = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    count = np.concatenate([c.flatten().to_numpy() for c in got.column("n").chunks] or [np.zeros(0, np.int64)])
+    row, toxic = np.repeat(np.arange(len(sizes)), sizes), got.column("y").to_numpy()
+    known = {t: i for i, t in enumerate(words.dictionary.to_pylist())}
+    first = np.zeros(len(sizes), bool)
+    first[np.unique(got.column("th").to_numpy(), return_index=True)[1]] = True  # each text once
+    holders = np.bincount(term, first[row], minlength=len(known))
+    toxic_holders = np.bincount(term, first[row] & (toxic[row] > 0.5), minlength=len(known))
     df, n = document_frequencies(docs, known) if known else (np.zeros(0), 0)
-    scale = (np.log((n + 1) / (df + 1)) + 1) * relevance(holders, toxic)
-    return BlockMaxIndex.build([r["doc_id"] for r in rows], [r["y"] for r in rows], counts, scale), known
+    scale = (np.log((n + 1) / (df + 1)) + 1) * relevance(holders, toxic_holders)
+    return BlockMaxIndex.build(got.column("doc_id").to_pylist(), toxic, row, term, count, scale), known
 
 
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex, known: dict[str, int], cut: float = 0.3, k: int = 15, shrink: float = 0.5) -> DataFrame:

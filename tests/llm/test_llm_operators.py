@@ -215,7 +215,8 @@ def test_block_max_search_is_exact():
     counts = [{t: r.randrange(1, 4) for t in r.sample(range(60), r.randrange(0, 8)) + [60] * (k % 3 > 0)} for k in range(700)]
     scale = np.array([1 + r.random() for _ in range(61)])
     flat = [(np.array(list(c), np.int64), np.array(list(c.values()), np.int64)) for c in counts]
-    index = toxicity.BlockMaxIndex.build(list(range(700)), [float(i % 2) for i in range(700)], flat, scale)
+    row, term, count = np.repeat(np.arange(700), [len(c) for c in counts]), *(np.concatenate([f[i] for f in flat]) for i in (0, 1))
+    index = toxicity.BlockMaxIndex.build(list(range(700)), np.arange(700) % 2.0, row, term, count, scale)
     assert len(index.rows) and len(index.block_of)
     units = [dict(zip(t.tolist(), toxicity.unit(t, n, scale), strict=True)) for t, n in flat]
     for q, (t, n) in zip(units[:80], flat, strict=False):
