@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,12 +27,29 @@ def decode(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "acgt")
 
 
+#: Sequences are cut twice before windows are taken, as finding a place in a string costs its distance from the start.
+_CUTS = (1 << 16, 512)
+
+
 def windows(df: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep, pos (from 0), fwd: every window of k unambiguous bases, case ignored."""
-    s = F.lower(F.col(seq))
-    starts = F.when(F.char_length(seq) >= k, F.sequence(F.lit(0), F.char_length(seq) - k))
-    cut = df.select(*keep, s.alias("_s"), F.explode(starts).alias("pos"))
-    return cut.select(*keep, "pos", F.expr(f"substring(_s, pos + 1, {k})").alias("fwd")).where(F.col("fwd").rlike("^[acgt]+$"))
+    """keep, pos (from 0), fwd: every window of k unambiguous bases, case ignored.
+
+    Long sequences are cut into pieces that overlap by k - 1 bases, so the work is
+    linear in their length and a row is never longer than a piece.
+    """
+    last = F.char_length("_s") - k
+    cut = df.select(*keep, F.lower(F.col(seq)).alias("_s"), F.lit(0).alias("_at"))
+    for size in _CUTS:
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(size)))
+        wide = F.lit(size + k - 1)
+        pieces = F.transform(starts, lambda i: F.substring("_s", i + 1, wide))  # noqa: B023  used at once
+        cut = cut.select(*keep, "_at", F.posexplode(pieces).alias("_i", "_p"))
+        cut = cut.select(*keep, F.col("_p").alias("_s"), (F.col("_at") + F.col("_i") * size).alias("_at"))
+    cut = cut.withColumn("_mixed", F.col("_s").rlike("[^acgt]"))
+    each = cut.select(*keep, "_s", "_at", "_mixed", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("_i"))
+    fwd = F.expr(f"substring(_s, _i + 1, {k})")
+    found = each.select(*keep, (F.col("_at") + F.col("_i")).alias("pos"), fwd.alias("fwd"), "_mixed")
+    return found.where(~F.col("_mixed") | F.col("fwd").rlike("^[acgt]+$")).select(*keep, "pos", "fwd")
 
 
 def canonical_windows(df: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -71,6 +90,34 @@ def prefix(code: Column, k: int, length: int) -> Column:
     return F.shiftright(code, 2 * (k - length))
 
 
+def both_strands(df: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, pos, strand (1 or -1), code: the k-mer of every window and that of the other strand."""
+    w = windows(df, k, seq, keep)
+    each = F.array(F.struct(F.lit(1).alias("strand"), encode(F.col("fwd")).alias("code")), F.struct(F.lit(-1).alias("strand"), encode(reverse_complement(F.col("fwd"))).alias("code")))
+    return w.select(*keep, "pos", F.explode(each).alias("s")).select(*keep, "pos", "s.strand", "s.code")
+
+
+def multi_k(df: DataFrame, ks: list[int], seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, k, pos, kmer: the canonical windows of several lengths."""
+    return reduce(DataFrame.union, [canonical_windows(df, k, seq, keep).select(*keep, F.lit(k).alias("k"), "pos", "kmer") for k in ks])
+
+
+def bucket_counts(codes: DataFrame, buckets: int, code: str = "code") -> DataFrame:
+    """(bucket, n_kmers): how many codes fall on each remainder."""
+    return codes.groupBy(F.pmod(F.col(code), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n_kmers"))
+
+
+def profile(df: DataFrame, k: int, least: int, seq: str = "seq") -> DataFrame:
+    """(n_windows, n_reads): how many reads have so many usable windows, of reads with ``least`` or more."""
+    n = df.select(valid_count(F.col(seq), k).alias("n_windows")).where(F.col("n_windows") >= least)
+    return n.groupBy("n_windows").agg(F.count("*").alias("n_reads"))
+
+
+def bits(code: Column, k: int) -> Column:
+    """The two bits of each base, as text."""
+    return F.lpad(F.bin(code), 2 * k, "0")
+
+
 def chop(seq: Column, length: int, step: int | None = None) -> Column:
     """Pieces of ``length`` bases, one every ``step`` (by default without gaps)."""
     step = step or length
@@ -86,8 +133,8 @@ def mask_low_quality(seq: Column, qual: Column, least: int = 10, offset: int = 3
 
 
 def join_mates(first: Column, second: Column) -> Column:
-    """Both mates with an n between, so no window spans them."""
-    return F.concat(first, F.lit("n"), second)
+    """Both mates with an n between, so no window spans them; a read without a mate stays as it is."""
+    return F.when(second.isNull(), first).otherwise(F.concat(first, F.lit("n"), second))
 
 
 def every_nth(df: DataFrame, k: int, n: int, keep: tuple[str, ...], seq: str = "seq") -> DataFrame:
@@ -96,3 +143,21 @@ def every_nth(df: DataFrame, k: int, n: int, keep: tuple[str, ...], seq: str = "
 
     ordinal = F.row_number().over(Window.partitionBy(*keep).orderBy("pos")) - 1
     return canonical_windows(df, k, seq, keep).withColumn("ordinal", ordinal).where(F.col("ordinal") % n == 0)
+
+
+# SQL bodies of the registered functions, {k} being the length of the k-mers.
+_SQL_FUNCTIONS = {
+    "reverse_complement(seq STRING) RETURNS STRING": "reverse(translate(seq, 'acgtACGT', 'tgcaTGCA'))",
+    "canonical_kmer(kmer STRING) RETURNS STRING": "least(lower(kmer), reverse(translate(lower(kmer), 'acgt', 'tgca')))",
+    "kmer_encode(kmer STRING) RETURNS BIGINT": "CASE WHEN lower(kmer) RLIKE '^[acgt]{1,31}$' THEN CAST(conv(translate(lower(kmer), 'acgt', '0123'), 4, 10) AS BIGINT) END",
+    "kmer_decode(code BIGINT, k INT) RETURNS STRING": "translate(lpad(conv(CAST(code AS STRING), 10, 4), k, '0'), '0123', 'acgt')",
+    "kmers_of(seq STRING, k INT) RETURNS ARRAY<STRING>": (
+        "CASE WHEN length(seq) >= k THEN filter(transform(transform(sequence(1, length(seq) - k + 1), i -> lower(substring(seq, i, k))), x -> least(x, reverse(translate(x, 'acgt', 'tgca')))), x -> x RLIKE '^[acgt]+$') ELSE array() END"
+    ),
+}
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Temporary SQL functions of the session: the k-mer functions, native, for use in spark.sql. kmers_of is for reads, not for genomes."""
+    for head, body in _SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

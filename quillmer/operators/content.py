@@ -8,7 +8,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kmers import canonical_windows
-from .taxonomy import ancestors, is_plasmid
+from .labels import DIRECT, MULTI
+from .maps import contaminated
+from .taxonomy import ancestors, is_human, is_plasmid
+
+
+def counted_reads(labelled: DataFrame, tax: DataFrame, min_score: float, ranks: list[str] | None = None, unwanted: list[str] | None = None, humans: bool = False) -> DataFrame:
+    """(read_id, tid, score) of the labelled reads (with match_type) that a content summary counts.
+
+    Reads without a hit or under min_score are left out, so are human ones unless
+    asked for, taxa of other ranks than the given (plasmids always stay) and taxa
+    whose name holds an unwanted word.
+    """
+    hit = F.col("match_type").isin(DIRECT, MULTI) & (F.col("score") >= min_score)
+    got = labelled.where(hit if humans else hit & ~is_human(F.col("tid"))).join(tax.select("tid", "rank", "name"), "tid")
+    if ranks:
+        got = got.where(F.coalesce(F.col("rank").isin(*ranks), F.lit(False)) | is_plasmid(F.col("tid")))
+    if unwanted:
+        got = got.where(~F.coalesce(contaminated(F.col("name"), unwanted), F.lit(False)))
+    return got.select("read_id", "tid", "score")
+
+
+def reported_spectra(spectra: DataFrame, calls: DataFrame, tax: DataFrame, min_reads: int = 1) -> DataFrame:
+    """The spectra of taxa that have a rank and more than min_reads reads."""
+    many = calls.groupBy("tid").agg(F.count("*").alias("n")).where(F.col("n") > min_reads).select("tid")
+    ranked = tax.where("coalesce(rank, 'no_rank') <> 'no_rank'").select("tid")
+    return spectra.join(many, "tid", "left_semi").join(ranked, "tid", "left_semi")
 
 
 def species_calls(calls: DataFrame, species: DataFrame) -> DataFrame:

@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.kmers import canonical_windows
 
 
+def called(labelled: DataFrame) -> DataFrame:
+    """(read_id, seq, tid, score) of labelled reads for the gene step: reads that were too short or have no score are left out, those without a match have tid 0."""
+    none = F.col("match_type").isNull() | F.startswith("match_type", F.lit("N")) | F.startswith("match_type", F.lit("R"))
+    return labelled.where("score is not null and score <> -1").select("read_id", "seq", F.when(none, F.lit(0)).otherwise(F.col("tid")).alias("tid"), "score")
+
+
+def uncalled(reads: DataFrame) -> DataFrame:
+    """(read_id, seq, tid, score) of raw reads: tid 0 and score 0, so gene counts need no labels and the filtered table stays empty."""
+    return reads.select("read_id", "seq", F.lit(0).alias("tid"), F.lit(0.0).alias("score"))
+
+
+def limited(gene_index: DataFrame, most: int) -> DataFrame:
+    """The gene index without k-mers of more than ``most`` genes."""
+    wide = gene_index.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return gene_index.join(wide.select("kmer"), "kmer", "left_anti")
+
+
+def sample_functions(samples: DataFrame, names: list[str]) -> DataFrame:
+    """A row a function, a column a sample: reads, from (sample, function, rc)."""
+    return samples.groupBy("function").pivot("sample", names).agg(F.sum("rc")).fillna(0, names)
+
+
 def gene_hits(reads: DataFrame, gene_index: DataFrame, k: int) -> DataFrame:
     """(read_id, kmer, occurrences, gid): every gene of every distinct k-mer of a read."""
     kmers = canonical_windows(reads, k, keep=("read_id",)).groupBy("read_id", "kmer").agg(F.count("*").alias("occurrences"))

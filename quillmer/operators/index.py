@@ -6,7 +6,7 @@ k-mer is ever in one row before it is pruned.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kmers import canonical_windows, encode, prefix
@@ -28,32 +28,30 @@ def subtree(pairs: DataFrame, tax: DataFrame) -> DataFrame:
 
     A node that is above every taxon of a k-mer is common; of the common nodes
     only the deepest stays. Unknown taxa are dropped; a single taxon stays alone.
+    The root is above all, so the largest count of a k-mer is its number of taxa,
+    and one pass over the nodes of a k-mer (as many as the taxonomy has, at most)
+    tells both. Counts are added up before the one shuffle of (kmer, node).
     """
     up = taxonomy.ancestors(tax, True).join(tax.select(F.col("tid").alias("node"), F.col("depth").alias("d")), "node")
-    known = pairs.join(tax.select("tid"), "tid", "left_semi")
-    nodes = known.join(up, "tid").groupBy("kmer", "node", "d").agg(F.count("*").alias("below"))
-    total = known.groupBy("kmer").agg(F.count("*").alias("n"))
-    both = nodes.join(total, "kmer")
-    deepest = both.where("below = n").groupBy("kmer").agg(F.max("d").alias("lca_depth"))
-    return both.join(deepest, "kmer").where((F.col("below") < F.col("n")) | (F.col("d") == F.col("lca_depth"))).select("kmer", F.col("node").alias("tid"))
+    nodes = pairs.join(up, "tid").groupBy("kmer", "node", "d").agg(F.count("*").alias("below"))
+    top = F.max(F.struct("below", "d")).over(Window.partitionBy("kmer"))
+    kept = nodes.withColumn("top", top).where((F.col("below") < F.col("top.below")) | (F.col("d") == F.col("top.d")))
+    return kept.select("kmer", F.col("node").alias("tid"))
 
 
 def rank_pruned(pairs: DataFrame, nranks: DataFrame, cutoff: int) -> DataFrame:
     """Drop whole groups of the largest numeric rank from lists longer than cutoff until they fit; {1} if none is left.
 
-    A tid without a numeric rank counts as rank 0 and goes last.
+    A tid without a numeric rank counts as rank 0 and goes last. One shuffle by k-mer.
     """
     ranked = pairs.join(nranks, "tid", "left").withColumn("nrank", F.coalesce("nrank", F.lit(0)))
-    sizes = ranked.groupBy("kmer", "nrank").agg(F.count("*").alias("n"))
     w = Window.partitionBy("kmer")
-    upto = F.sum("n").over(w.orderBy("nrank").rowsBetween(Window.unboundedPreceding, 0))
-    kept = sizes.withColumn("upto", upto).groupBy("kmer").agg(
-        F.max(F.when(F.col("upto") <= cutoff, F.col("nrank"))).alias("most"), F.sum("n").alias("n")
-    )
-    out = ranked.join(kept, "kmer")
-    stay = out.where((F.col("n") <= cutoff) | (F.col("nrank") <= F.col("most"))).select("kmer", "tid")
-    rest = kept.where((F.col("n") > cutoff) & F.col("most").isNull()).select("kmer", F.lit(taxonomy.ROOT).alias("tid"))
-    return stay.union(rest)
+    counted = ranked.withColumn("upto", F.count("*").over(w.orderBy("nrank").rangeBetween(Window.unboundedPreceding, 0)))
+    counted = counted.withColumn("n", F.max("upto").over(w)).withColumn("low", F.min("upto").over(w))
+    stays = (F.col("n") <= cutoff) | (F.col("upto") <= cutoff)
+    one = F.row_number().over(w.orderBy("nrank", "tid")) == 1
+    out = counted.withColumn("stays", stays).withColumn("one", one).where("stays or one and low > " + str(cutoff))
+    return out.select("kmer", F.when(F.col("stays"), F.col("tid")).otherwise(F.lit(taxonomy.ROOT)).alias("tid"))
 
 
 def species_pruned(pairs: DataFrame, species: DataFrame, cutoff: int) -> DataFrame:
@@ -100,11 +98,58 @@ def list_lengths(pairs: DataFrame) -> DataFrame:
     return by.select("list_length", "n_kmers", F.round(F.col("n_kmers") * 100.0 / every, 9).alias("percent"), F.round(upto * 100.0 / every, 9).alias("running_percent"))
 
 
-def size_gb(kmers: int, pairs: int, singles: int, entry: int = 4) -> float:
+def size_gb(kmers: Column, pairs: Column, singles: Column, entry: int = 4) -> Column:
     """Estimated size of a packed index in GB."""
     return (kmers * 8 + (pairs - singles) * entry + (kmers - singles) * entry) / 1e9 + 2
 
 
+def size_estimate(pairs: DataFrame, entry: int = 4) -> DataFrame:
+    """(size_gb): the estimate for an index of these pairs."""
+    by = pairs.groupBy("kmer").agg(F.count("*").alias("n")).agg(F.count("*").alias("k"), F.sum("n").alias("p"), F.count_if(F.col("n") == 1).alias("s"))
+    return by.select(size_gb(F.col("k"), F.col("p"), F.col("s"), entry).alias("size_gb"))
+
+
+def lookups(kmers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """kmers (key columns and kmer) with n and tids: the sorted list of each k-mer, 0 and empty where the index has none."""
+    found = kmers.join(lists(pairs), "kmer", "left")
+    tids = F.coalesce("tids", F.array().cast("array<int>"))
+    return found.withColumn("n", F.size(tids)).withColumn("tids", tids)
+
+
+def intersect(pairs: DataFrame, kmers: DataFrame) -> DataFrame:
+    """(kmer): distinct k-mers of the index that the list has too."""
+    return pairs.select("kmer").distinct().join(kmers.select("kmer"), "kmer", "left_semi")
+
+
+def missing(pairs: DataFrame, kmers: DataFrame) -> DataFrame:
+    """(kmer): distinct k-mers of the list that the index lacks."""
+    return kmers.select("kmer").distinct().join(pairs.select("kmer"), "kmer", "left_anti")
+
+
+def presence(windows: DataFrame, pairs: DataFrame, key: str = "read_id") -> DataFrame:
+    """(key, presence): the share of a read's windows that the index has."""
+    known = pairs.select("kmer").distinct().withColumn("_hit", F.lit(1))
+    return windows.join(known, "kmer", "left").groupBy(key).agg((F.count("_hit") / F.count("*")).alias("presence"))
+
+
+def occupancy(codes: DataFrame, k: int, prefix_bases: int, slots: int) -> DataFrame:
+    """(slot, n_kmers): how many codes fall on each of ``slots`` even ranges of the leading bases."""
+    per = -(-(4**prefix_bases) // slots)
+    at = F.floor(prefix(F.col("code"), k, prefix_bases) / per).cast("int")
+    return codes.groupBy(at.alias("slot")).agg(F.count("*").alias("n_kmers"))
+
+
+def faults(records: DataFrame) -> DataFrame:
+    """(fault, n) over index records (kmer, tids): keys that occur twice, empty lists, lists with repeats or out of order."""
+    twice = records.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n")).select(F.lit("repeated key").alias("fault"), "n")
+    bad = records.agg(
+        F.count_if(F.size("tids") < 1).alias("empty list"), F.count_if(F.size(F.array_distinct("tids")) < F.size("tids")).alias("repeated tid"),
+        F.count_if(F.array_sort("tids") != F.col("tids")).alias("unsorted list"),
+    )
+    flat = bad.select(F.explode(F.array(*[F.struct(F.lit(c).alias("fault"), F.col(f"`{c}`").alias("n")) for c in bad.columns])).alias("x")).select("x.fault", "x.n")
+    return twice.union(flat).where("n > 0")
+
+
 def write_index(pairs: DataFrame, path: str, k: int, partition_bases: int = 1) -> None:
     """Store lists as Parquet, coded, partitioned by the leading bases and sorted, so that lookups prune."""
     coded = lists(pairs).select(encode(F.col("kmer")).alias("kmer"), "tids")
@@ -115,3 +160,10 @@ def write_index(pairs: DataFrame, path: str, k: int, partition_bases: int = 1) -
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(kmer, tids), k-mers as codes."""
     return spark.read.parquet(path).select("kmer", "tids")
+
+
+def routed_lookup(spark: SparkSession, path: str, codes: DataFrame, k: int, partition_bases: int = 1) -> DataFrame:
+    """codes (code) with the tids of a stored index; only the folders of prefixes that occur are read, as the prefix is a join key."""
+    keyed = codes.withColumn("part", prefix(F.col("code"), k, partition_bases).cast("int"))
+    stored_lists = spark.read.parquet(path).select(F.col("kmer").alias("code"), "part", "tids")
+    return keyed.join(stored_lists, ["part", "code"], "left").drop("part")

@@ -1,7 +1,10 @@
 """Read labelling: k-mer hits, scores, log-odds against a null model, and the call.
 
-Long form (read_id, pos, tid) up to one row a read; only the greedy lineage
-decision is Python, on Arrow batches of rows that carry their candidates.
+What a k-mer's list says by itself (which of its taxa are most specific, their
+paths) is worked out once, when the index is made ready for labelling; reads meet
+that index in one join. All later steps work inside a read: hits are dealt by
+read_id once, and every aggregate and window after that keeps this partitioning.
+Only the greedy lineage decision is Python, on Arrow batches with one row a read.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmers import distinct_kmers
+from ..functions.kmers import distinct_kmers, gc_bin, valid_count
 from . import taxonomy
 
 # Reasons and match types.
@@ -21,8 +24,14 @@ DIRECT, MULTI, NONE, LCA_ERROR = "DirectMatch", "MultiMatch", "NoMatch", "LCA_ER
 
 
 def read_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """(read_id, kmer, pos): distinct canonical k-mers of each read."""
-    return distinct_kmers(reads, k, keep=("read_id",))
+    """(read_id, kmer, pos): distinct canonical k-mers of each read. Reads are dealt by read_id, their k-mers are not shuffled."""
+    return distinct_kmers(reads.select("read_id", "seq").repartition("read_id"), k, keep=("read_id",))
+
+
+def named(reads: DataFrame) -> DataFrame:
+    """reads (header, seq) with read_id: the header, or ``unknown_hdr:`` and a hash of the sequence where it is empty."""
+    unnamed = F.concat(F.lit("unknown_hdr:"), F.lower(F.hex(F.xxhash64("seq"))))
+    return reads.withColumn("read_id", F.when(F.trim("header") != "", F.col("header")).otherwise(unnamed))
 
 
 def clean_tid(tid: Column) -> Column:
@@ -30,75 +39,108 @@ def clean_tid(tid: Column) -> Column:
     return F.when(tid.isin(*taxonomy.HUMAN_GROUP), F.lit(taxonomy.HUMAN)).when(~tid.isin(*taxonomy.IGNORED), tid)
 
 
-def position_taxa(kmers: DataFrame, index: DataFrame) -> DataFrame:
-    """(read_id, pos, tid): taxa of every k-mer found in index (kmer, tid)."""
-    hits = kmers.join(index, "kmer").select("read_id", "pos", clean_tid(F.col("tid")).alias("tid"))
-    return hits.where("tid is not null").distinct()
+def clean_pairs(pairs: DataFrame) -> DataFrame:
+    """(kmer, tid) with clean_tid applied."""
+    return pairs.select("kmer", clean_tid(F.col("tid")).alias("tid")).where("tid is not null").distinct()
+
 
+def strict_index(pairs: DataFrame, tax: DataFrame) -> DataFrame:
+    """The index ready for strict labelling: (kmer, tid, path, species), species set for strains only.
+
+    Of a k-mer's taxa those that are ancestors of another one are left out. Lists
+    must be pruned (a bounded number of taxa a k-mer), as each becomes one row on
+    the way; taxa that the taxonomy lacks are dropped.
+    """
+    species = taxonomy.species_map(tax.select("tid", "rank", "depth", "path")).withColumnRenamed("species", "_s")
+    known = tax.join(species, "tid").select("tid", "path", F.when(F.col("rank") == "strain", F.col("_s")).alias("species"), (F.col("rank") == "strain").alias("strain"))
+    one = F.struct("tid", "path", "species", "strain")
+    by = clean_pairs(pairs).join(known, "tid").groupBy("kmer").agg(F.collect_list(one).alias("l"))
+    above = F.array_distinct(F.flatten(F.transform("l", lambda x: x["path"])))
+    kept = by.withColumn("above", above).select("kmer", F.explode(F.filter("l", lambda x: ~F.array_contains(F.col("above"), x["tid"]))).alias("x"))
+    return kept.select("kmer", "x.tid", "x.path", "x.species", F.coalesce("x.strain", F.lit(False)).alias("strain"))
 
-def most_specific(hits: DataFrame, tax: DataFrame) -> DataFrame:
-    """Strict mode: at each position drop taxa that are ancestors of another taxon there."""
-    up = hits.join(taxonomy.ancestors(tax, False), "tid").select("read_id", "pos", F.col("node").alias("tid"))
-    return hits.join(up, ["read_id", "pos", "tid"], "left_anti")
 
+def permissive_index(pairs: DataFrame, tax: DataFrame) -> DataFrame:
+    """(kmer, tid): every taxon with its whole path, for permissive labelling."""
+    return clean_pairs(pairs).join(taxonomy.ancestors(tax, True), "tid").select("kmer", F.col("node").alias("tid")).distinct()
 
-def all_lineages(hits: DataFrame, tax: DataFrame) -> DataFrame:
-    """Permissive mode: every taxon with its whole path."""
-    up = hits.join(taxonomy.ancestors(tax, True), "tid").select("read_id", "pos", F.col("node").alias("tid"))
-    return up.distinct()
 
+def position_taxa(kmers: DataFrame, index: DataFrame) -> DataFrame:
+    """(read_id, pos, tid): taxa of every k-mer found in an index made ready (kmer, tid)."""
+    return kmers.join(index.select("kmer", "tid"), "kmer").select("read_id", "pos", "tid")
 
-def representative_strains(strict: DataFrame, tax: DataFrame) -> DataFrame:
-    """(read_id, species, tid): per read and species the strain at most positions; of equal ones the smallest."""
-    strains = tax.where("rank = 'strain'").select("tid").join(taxonomy.species_map(tax), "tid").where("species is not null")
-    counted = strict.join(strains, "tid").groupBy("read_id", "species", "tid").agg(F.count("*").alias("n"))
-    best = F.row_number().over(Window.partitionBy("read_id", "species").orderBy(F.desc("n"), "tid"))
-    return counted.withColumn("place", best).where("place = 1").select("read_id", "species", "tid", "n")
 
+def strict_hits(kmers: DataFrame, index: DataFrame) -> DataFrame:
+    """(read_id, tid, path, species, strain, places): per read the most specific taxa and the positions of each, dealt by read_id."""
+    hits = kmers.join(index, "kmer").select("read_id", "pos", "tid", "path", "species", "strain").repartition("read_id")
+    return hits.groupBy("read_id", "tid").agg(
+        F.first("path").alias("path"), F.first("species").alias("species"), F.first("strain").alias("strain"), F.collect_list("pos").alias("places")
+    )
 
-def augmented(strict: DataFrame, tax: DataFrame) -> DataFrame:
-    """Strict hits with the ancestors of all taxa but the strains that represent no species."""
-    chosen = representative_strains(strict, tax).select("read_id", "tid")
-    strains = tax.where("rank = 'strain'").select("tid")
-    other = strict.join(strains, "tid", "left_anti").unionByName(strict.join(chosen, ["read_id", "tid"], "left_semi"))
-    up = other.join(taxonomy.ancestors(tax, False), "tid").select("read_id", "pos", F.col("node").alias("tid"))
-    return strict.select("read_id", "pos", "tid").union(up).distinct()
 
+def representative_strains(strict: DataFrame) -> DataFrame:
+    """strict_hits with ``represents``: whether a strain is its species' one at most positions in the read, of equals the smallest."""
+    first = F.row_number().over(Window.partitionBy("read_id", "species").orderBy(F.desc(F.size("places")), "tid")) == 1
+    return strict.withColumn("represents", F.col("strain") & F.col("species").isNotNull() & first)
 
-def taxon_hits(hits: DataFrame) -> DataFrame:
-    """(read_id, tid, hits): positions of each taxon."""
-    return hits.groupBy("read_id", "tid").agg(F.count("*").alias("hits"))
 
+def taxon_hits(strict: DataFrame) -> DataFrame:
+    """(read_id, tid, hits): positions of each taxon and of the ancestors that it lends them to.
 
-def label_probabilities(hits: DataFrame, kmers: DataFrame) -> DataFrame:
-    """taxon_hits with n_kmers (distinct k-mers of the read) and prob, their ratio."""
+    Ancestors get the positions of taxa that are no strains, and of the strains
+    that represent their species.
+    """
+    lends = ~F.col("strain") | F.col("represents")
+    nodes = F.when(lends, F.concat(F.array("tid"), F.col("path"))).otherwise(F.array("tid"))
+    each = representative_strains(strict).select("read_id", F.explode(nodes).alias("tid"), "places")
+    return each.groupBy("read_id", "tid").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("hits"))
+
+
+def label_probabilities(kmers: DataFrame, index: DataFrame) -> DataFrame:
+    """(read_id, tid, hits, n_kmers, n_found, prob): n_kmers are the read's distinct k-mers, n_found those in the index, prob is hits / n_kmers."""
     n = kmers.groupBy("read_id").agg(F.count("*").alias("n_kmers"))
-    return taxon_hits(hits).join(n, "read_id").withColumn("prob", F.col("hits") / F.col("n_kmers"))
+    strict = strict_hits(kmers, index)
+    found = strict.groupBy("read_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_found"))
+    return taxon_hits(strict).join(n, "read_id").join(found, "read_id").withColumn("prob", F.col("hits") / F.col("n_kmers"))
 
 
 def null_bucket(n_kmers: Column, buckets: list[int]) -> Column:
-    """The read-length bucket of the null model that is nearest, by midpoints."""
+    """The read-length bucket of the null model that is nearest, by whole midpoints."""
     out = F.lit(buckets[0])
     for low, high in zip(buckets, buckets[1:], strict=False):
-        out = F.when(n_kmers > (low + high) / 2, F.lit(high)).otherwise(out)
+        out = F.when(n_kmers > (low + high) // 2, F.lit(high)).otherwise(out)
     return out
 
 
-def log_odds(probs: DataFrame, null: DataFrame, tax: DataFrame) -> DataFrame:
+def log_odds(probs: DataFrame, null: DataFrame | None, tax: DataFrame, buckets: list[int] | None = None) -> DataFrame:
     """probs with random_prob and score = ln(prob / random_prob).
 
-    null: (tid, gc_bin, cutoff); probs carry gc_bin. A taxon's chance is at least
-    that of any of the read's taxa in its rank class or a lower one (a running
-    maximum over the classes, so the order of discovery doesn't matter).
+    null: (tid, gc_bin, cutoff), with ``buckets`` also read_kmers, the bucket that
+    a row is for; probs carry gc_bin. A taxon without a null model has the chance 1,
+    so it never wins. A taxon's chance is at least that of any of the read's taxa in
+    its rank class or a lower one (a running maximum over the classes, so the order
+    of discovery doesn't matter). Without a null model (None, or none for a read's
+    bucket) the score is prob itself.
     """
+    if null is None:
+        return probs.withColumn("random_prob", F.lit(None).cast("double")).withColumn("score", F.col("prob").cast("double"))
     rank_class = F.coalesce(*[F.when(F.col("rank") == r, c) for r, c in taxonomy.RANK_CLASSES.items()], F.lit(0))
     classes = tax.select("tid", F.when(F.col("depth") == 0, taxonomy.ROOT_CLASS).otherwise(rank_class).alias("rank_class"))
-    with_null = probs.join(null, ["tid", "gc_bin"], "left").join(classes, "tid", "left")
-    own = F.coalesce("cutoff", F.lit(0.0)) + 0.0001
+    on = ["tid", "gc_bin"]
+    if buckets:
+        probs = probs.withColumn("read_kmers", null_bucket(F.col("n_kmers"), buckets))
+        on.append("read_kmers")
+    with_null = probs.join(null.select(*on, "cutoff"), on, "left").join(classes, "tid", "left")
+    if buckets:  # buckets that no model was made for
+        has = null.select("read_kmers").distinct().withColumn("_has", F.lit(True))
+        with_null = with_null.join(has, "read_kmers", "left").withColumn("_has", F.coalesce("_has", F.lit(False)))
+    else:
+        with_null = with_null.withColumn("_has", F.lit(True))
+    own = F.coalesce(F.col("cutoff") + 0.0001, F.lit(1.0))
     w = Window.partitionBy("read_id").orderBy(F.coalesce("rank_class", F.lit(0))).rangeBetween(Window.unboundedPreceding, 0)
-    chance = F.max(own).over(w)
-    out = with_null.withColumn("random_prob", chance)
-    return out.withColumn("score", F.log(F.col("prob") / F.when(F.col("random_prob") <= 0, 1e-5).otherwise(F.col("random_prob")))).drop("cutoff")
+    out = with_null.withColumn("random_prob", F.when(F.col("_has"), F.max(own).over(w)))
+    odds = F.log(F.col("prob") / F.when(F.col("random_prob") <= 0, 1e-5).otherwise(F.col("random_prob")))
+    return out.withColumn("score", F.when(F.col("_has"), odds).otherwise(F.col("prob"))).drop("cutoff", "_has", "read_kmers")
 
 
 def score_stats(scored: DataFrame) -> DataFrame:
@@ -112,23 +154,34 @@ def score_stats(scored: DataFrame) -> DataFrame:
 
 
 def candidates(scored: DataFrame, tax: DataFrame, human_bias: float = 0.0) -> DataFrame:
-    """A row a read: avg, stdev, top and the candidates (score, depth, tid, path) in ascending order."""
+    """A row a read: its k-mer counts, avg, stdev, top and the candidates in ascending order.
+
+    A candidate has score (with the human bias) and plain (without); scores that
+    agree to three decimals are ordered by depth, then tid.
+    """
     stats = score_stats(scored)
     full = scored.join(stats, "read_id").join(tax.select("tid", "depth", "path"), "tid")
-    biased = F.when(F.col("tid") == taxonomy.HUMAN, F.col("score") + human_bias * F.col("stdev")).otherwise(F.col("score"))
-    one = F.struct(F.round(biased, 3).alias("rounded"), "depth", "tid", biased.alias("score"), "path")
-    return full.groupBy("read_id", "avg", "stdev", "top").agg(F.array_sort(F.collect_list(one)).alias("cands"))
+    biased = F.when(taxonomy.is_human(F.col("tid")), F.col("score") + human_bias * F.col("stdev")).otherwise(F.col("score"))
+    one = F.struct(F.round(biased, 3).alias("rounded"), "depth", "tid", biased.alias("score"), F.col("score").alias("plain"), "path")
+    return full.groupBy("read_id", "n_kmers", "n_found", "avg", "stdev", "top").agg(F.array_sort(F.collect_list(one)).alias("cands"))
+
 
+def candidate_list(cands: Column) -> Column:
+    """The candidates with scores of 0 and more, best first, as (tid, score)."""
+    good = F.filter(F.reverse(cands), lambda c: c["score"] >= 0)
+    return F.transform(good, lambda c: F.struct(c["tid"].alias("tid"), c["score"].alias("score")))
 
-def decide(cands: list[dict], top: float, gap: float) -> tuple[int, float | None, str]:
+
+def decide(cands: list[dict], top: float, gap: float, plasmids: frozenset[int] = frozenset()) -> tuple[int, float | None, str]:
     """The call for one read's ascending candidates: (tid, score, match type).
 
     From the best candidate down, taxa that fit one lineage are collected until
     one doesn't. Every further candidate within ``gap`` of a lineage node that is
     not above it makes that node unfit. Without unfit nodes the deepest collected
     taxon is the call, else the deepest fit node of the lineage to the root, with
-    the best score seen on the way. A plasmid as good as the best replaces its
-    own ancestor.
+    the best score seen on the way. A plasmid (by its id, or listed) as good as the
+    best replaces its own ancestor; of several the last looked at counts. Ancestors
+    of the lineage count with their plain scores.
     """
     if not cands:
         return taxonomy.ROOT, None, NONE
@@ -138,9 +191,7 @@ def decide(cands: list[dict], top: float, gap: float) -> tuple[int, float | None
     plasmid, stopped = None, -1
     for i in range(len(cands) - 1, -1, -1):
         c = cands[i]
-        if stopped >= 0 and c["score"] < top:
-            break
-        if taxonomy.PLASMID_FROM <= c["tid"] < taxonomy.PLASMID_UNTIL and c["score"] >= top and plasmid is None:
+        if c["score"] >= top and (taxonomy.PLASMID_FROM <= c["tid"] < taxonomy.PLASMID_UNTIL or c["tid"] in plasmids):
             plasmid = c
         if stopped < 0:
             fits = all(m["depth"] != c["depth"] and (m["tid"] in above[c["tid"]] or c["tid"] in above[m["tid"]]) for m in line)
@@ -148,23 +199,25 @@ def decide(cands: list[dict], top: float, gap: float) -> tuple[int, float | None
                 line.append(c)
             else:
                 stopped = i
+        if stopped >= 0 and c["score"] < top:
+            break
     lowest = max(line, key=lambda c: c["depth"])
     highest = min(line, key=lambda c: c["depth"])
     chain = [(c["tid"], c["depth"], c["score"]) for c in line]
     for j, tid in enumerate(highest["path"]):
         known = by_tid.get(tid)
-        chain.append((tid, highest["depth"] - 1 - j, known["score"] if known else None))
+        chain.append((tid, highest["depth"] - 1 - j, known.get("plain", known["score"]) if known else None))
     chain.sort(key=lambda n: -n[1])
-    on_line, unfit = {n[0] for n in chain}, set()
+    on_path, unfit = set(highest["path"]), set()
     for i in range(stopped, -1, -1):
         rival = cands[i]
-        if rival["tid"] in on_line:
+        if rival["tid"] in on_path:
             continue
         go_on = True
         for tid, _, score in chain:
             if tid in above[rival["tid"]]:
                 break
-            if score is not None and score - rival["score"] > gap:
+            if (score if score is not None else -10000.0) - rival["score"] > gap:
                 go_on = False
                 break
             unfit.add(tid)
@@ -185,37 +238,64 @@ def decide(cands: list[dict], top: float, gap: float) -> tuple[int, float | None
     return call
 
 
-def call_reads(cands: DataFrame, sdiff: float = 1.0, phix_screen: bool = True) -> DataFrame:
-    """(read_id, tid, score, match_type) from candidates()."""
+def call_reads(cands: DataFrame, sdiff: float = 1.0, phix_screen: bool = True, min_kmers: int = 0, min_found: int = 1, plasmids: tuple[int, ...] = ()) -> DataFrame:
+    """(read_id, tid, score, match_type) from candidates().
+
+    Reads with less than min_found k-mers in the index, or less than min_kmers
+    distinct ones, have no match: tid 0, score -1. A phage screened for (as good as
+    the best) makes the call the synthetic taxon.
+    """
+    listed = frozenset(plasmids)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             rows = []
-            for read, top, stdev, cs in zip(b["read_id"], b["top"], b["stdev"], b["cands"], strict=True):
+            for read, n, found, top, stdev, cs in zip(*(b[c] for c in ("read_id", "n_kmers", "n_found", "top", "stdev", "cands")), strict=True):
                 cs = list(cs)
-                phix = [c["score"] for c in cs if c["tid"] in taxonomy.PHIX]
-                if phix_screen and phix and phix[-1] >= top:
-                    rows.append((read, taxonomy.SYNTHETIC, phix[-1], DIRECT))
+                phix = [c["plain"] for c in cs if c["tid"] in taxonomy.PHIX]
+                if found < min_found or n < min_kmers:
+                    rows.append((read, 0, -1.0, NONE))
+                elif phix_screen and phix and max(phix) >= top:
+                    rows.append((read, taxonomy.SYNTHETIC, max(phix), DIRECT))
                 else:
-                    rows.append((read, *decide(cs, top, stdev * sdiff)))
+                    rows.append((read, *decide(cs, top, stdev * sdiff, listed)))
             yield pd.DataFrame(rows, columns=["read_id", "tid", "score", "match_type"])
 
     kind = cands.schema["read_id"].dataType.simpleString()
-    return cands.mapInPandas(batches, f"read_id {kind}, tid int, score double, match_type string")
+    return cands.select("read_id", "n_kmers", "n_found", "top", "stdev", "cands").mapInPandas(batches, f"read_id {kind}, tid int, score double, match_type string")
 
 
 def outcome(reads: DataFrame, calls: DataFrame, k: int, min_kmers: int, min_score: float | None = None, seq: str = "seq") -> DataFrame:
-    """One row a read: its call, or the reason why there is none."""
-    from ..functions.kmers import valid_count
-
+    """One row a read: its call (tid, score, match_type), or the reason why there is none or it doesn't count."""
     n = valid_count(F.col(seq), k)
     got = reads.select("read_id", n.alias("valid_kmers")).join(calls, "read_id", "left")
-    reason = F.when(F.col("valid_kmers") < min_kmers, SHORT).when(F.col("tid").isNull(), NO_HITS)
+    reason = F.when(F.col("valid_kmers") < min_kmers, SHORT).when(F.col("tid").isNull() | (F.col("match_type") == NONE), NO_HITS)
     if min_score is not None:
         reason = reason.when(F.col("score") < min_score, LOW)
     return got.withColumn("reason", reason)
 
 
+def label_reads(
+    reads: DataFrame, index: DataFrame, tax: DataFrame, null: DataFrame | None, k: int, min_kmers: int = 30, min_found: int = 1, min_score: float | None = 0.0,
+    sdiff: float = 1.0, human_bias: float = 0.0, phix_screen: bool = True, plasmids: tuple[int, ...] = (), buckets: list[int] | None = None,
+) -> DataFrame:
+    """Reads (read_id, seq) labelled from end to end: one row a read with call, reason, statistics and the candidate list.
+
+    index is a strict_index. Columns: read_id, seq, avg, stdev, n_kmers,
+    valid_kmers, candidates, tid, score, match_type, reason.
+    """
+    kmers = read_kmers(reads, k)
+    binned = reads.select("read_id", gc_bin(F.col("seq"), k).alias("gc_bin"))
+    scored = log_odds(label_probabilities(kmers, index).join(binned, "read_id"), null, tax, buckets)
+    cands = candidates(scored, tax, human_bias)
+    calls = call_reads(cands, sdiff, phix_screen, min_kmers, min_found, plasmids)
+    out = outcome(reads, calls, k, min_kmers, min_score)
+    facts = cands.select("read_id", "avg", "stdev", "n_kmers", candidate_list(F.col("cands")).alias("candidates"))
+    full = out.join(facts, "read_id", "left").join(reads.select("read_id", "seq"), "read_id")
+    columns = ["read_id", "seq", "avg", "stdev", "n_kmers", "valid_kmers", "candidates", "tid", "score", "match_type", "reason"]
+    return full.select(*columns)
+
+
 def top_taxon(probs: DataFrame, tax: DataFrame) -> DataFrame:
     """(read_id, tid, score): the likeliest taxon; of equals the deepest, then the smallest."""
     best = F.row_number().over(Window.partitionBy("read_id").orderBy(F.desc("prob"), F.desc("depth"), "tid"))
@@ -231,3 +311,9 @@ def taxon_summary(outcomes: DataFrame, tax: DataFrame) -> DataFrame:
 
 def nomatch_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n_reads"))
+
+
+def rebinned(labelled: DataFrame, tax: DataFrame, min_score: float, min_kmers: int) -> DataFrame:
+    """(tid, name, wrc, rc) of labelled reads (n_kmers, tid, score, match_type) at new thresholds, without labelling again."""
+    hit = F.col("match_type").isin(DIRECT, MULTI) & (F.col("score") >= min_score) & (F.col("n_kmers") >= min_kmers)
+    return taxon_summary(labelled.where(hit).withColumn("reason", F.lit(None).cast("string")), tax)

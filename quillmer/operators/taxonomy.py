@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import stored
+
 # Reserved taxa.
 ROOT, HUMAN, HUMAN_GROUP = 1, 9606, (9606, 63221, 741158)
 PHIX, SYNTHETIC, IGNORED = (374840, 10847, 32630), 32630, (20999999, 12721, 693660)
@@ -14,25 +16,48 @@ PLASMID_FROM, PLASMID_UNTIL = 10_000_000, 11_000_000
 NUMERIC_RANKS = {"species": 15, "genus": 14, "family": 12, "order": 10, "class": 8, "phylum": 6, "kingdom": 4, "superkingdom": 2}
 RANK_CLASSES = {"no_rank": 0, "ethnic": 0, "region": 1, "species": 2, "genus": 3, "family": 4, "order": 5, "class": 6, "phylum": 7, "kingdom": 8}
 ROOT_CLASS = 9
+# Heads of the large groups of life.
+EUKARYOTES, VIRUSES, PROKARYOTES = 2759, 10239, (2, 2157)
+
+
+def is_plasmid(tid: Column, listed: tuple[int, ...] = ()) -> Column:
+    """Ids of the plasmid range, and those of a side list."""
+    ranged = (tid >= PLASMID_FROM) & (tid < PLASMID_UNTIL)
+    return ranged | tid.isin(*listed) if listed else ranged
+
 
+def is_human(tid: Column) -> Column:
+    return tid.isin(*HUMAN_GROUP)
 
-def is_plasmid(tid: Column) -> Column:
-    return (tid >= PLASMID_FROM) & (tid < PLASMID_UNTIL)
 
+def group_of(tid: Column, path: Column) -> Column:
+    """human, eukaryote, virus, prokaryote or other, by the taxon and its ancestors."""
+    under = lambda *heads: F.arrays_overlap(F.concat(F.array(tid), path), F.array(*map(F.lit, heads)))
+    out = F.when(is_human(tid) | under(HUMAN), "human").when(under(EUKARYOTES), "eukaryote")
+    return out.when(under(VIRUSES), "virus").when(under(*PROKARYOTES), "prokaryote").otherwise("other")
 
-def closure(nodes: DataFrame, deepest: int = 64) -> DataFrame:
+
+def closure(nodes: DataFrame) -> DataFrame:
     """nodes with ``path`` (ancestors from the parent to the root, self excluded) and ``depth``.
 
-    One join with the parents for each level up to ``deepest``, so the plan stays
-    linear in the depth. Callers that use the result more than once store it.
-    Nodes whose chain never reaches the root keep the part that is known.
+    Paths double in length with each round, so a tree of depth d takes log2(d)
+    rounds of one join; each round is stored, and one number comes to the driver.
+    Nodes whose chain never reaches the root keep the part that is known. A cycle
+    is an error.
     """
-    up = nodes.where("parent <> tid").select(F.col("tid").alias("_t"), F.col("parent").alias("_p"))
-    step = nodes.select("tid", F.array().cast("array<int>").alias("path"), F.col("tid").alias("last"))
-    for _ in range(deepest):
-        step = step.join(up, F.col("last") == F.col("_t"), "left")
-        more = F.when(F.col("_p").isNull(), F.col("path")).otherwise(F.concat("path", F.array("_p")))
-        step = step.select("tid", more.alias("path"), F.col("_p").alias("last"))
+    spark = nodes.sparkSession
+    above = F.when(F.col("parent") != F.col("tid"), F.col("parent").cast("int"))
+    path = F.when(above.isNull(), F.array().cast("array<int>")).otherwise(F.array(above))
+    step = stored(spark, nodes.select(F.col("tid").cast("int").alias("tid"), path.alias("path"), above.alias("last")), "paths")
+    while True:
+        open_, round_ = step.agg(F.count("last"), F.count_if(F.array_contains("path", F.col("tid")))).first()
+        if round_:
+            raise ValueError(f"{round_} taxa are their own ancestors")
+        if not open_:
+            break
+        up = step.select(F.col("tid").alias("_t"), F.col("path").alias("_p"), F.col("last").alias("_l"))
+        longer = step.join(up, F.col("last") == F.col("_t"), "left")
+        step = stored(spark, longer.select("tid", F.concat("path", F.coalesce("_p", F.array().cast("array<int>"))).alias("path"), F.col("_l").alias("last")), "paths")
     return nodes.join(step.select("tid", "path"), "tid").withColumn("depth", F.size("path"))
 
 
@@ -73,6 +98,48 @@ def rank_or_parents(nodes: DataFrame) -> DataFrame:
     return nodes.join(up, "parent", "left").select("tid", F.translate(F.coalesce("rank", "_r"), " ", "_").alias("rank"))
 
 
+def rank_sets(tax: DataFrame) -> DataFrame:
+    """(tid, ranks): the ranks found on the way from a node to the root, itself included, sorted."""
+    ranks = tax.select(F.col("tid").alias("node"), "rank").where("rank is not null")
+    return ancestors(tax, True).join(ranks, "node").groupBy("tid").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
+
+
+def renumbered(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """nodes in the ids of a map (tid, dense): nodes and parents without an id are left out."""
+    own, up = ids.select("tid", "dense"), ids.select(F.col("tid").alias("parent"), F.col("dense").alias("_p"))
+    return nodes.join(own, "tid").join(up, "parent").select(F.col("dense").alias("tid"), F.col("_p").alias("parent"), "name", "rank")
+
+
+def segment_ids(sequences: DataFrame, first: int = PLASMID_FROM + 1) -> DataFrame:
+    """sequences (tid, header, plasmid) with ``new_tid``: plasmids get ids of their own from ``first``, by tid and header.
+
+    Numbers are dealt inside a tid; the sizes of the tids before it (a row a tid)
+    are added up over the tids alone.
+    """
+    own = sequences.where("plasmid")
+    sizes = own.groupBy("tid").agg(F.count("*").alias("n"))
+    wide = sizes.withColumn("block", F.floor(F.col("tid") / 4096))
+    per_block = wide.groupBy("block").agg(F.sum("n").alias("b"))
+    lead = F.coalesce(F.sum("b").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("tid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = wide.withColumn("inside", inside).join(per_block.select("block", lead.alias("lead")), "block")
+    place = F.row_number().over(Window.partitionBy("tid").orderBy("header"))
+    numbered = own.withColumn("_i", place).join(before.select("tid", (F.col("inside") + F.col("lead")).alias("_b")), "tid")
+    new = (F.col("_b") + F.col("_i") + first - 1).cast("int")
+    columns = sequences.columns
+    return numbered.select(*columns, new.alias("new_tid")).unionByName(sequences.where("not coalesce(plasmid, false)").withColumn("new_tid", F.col("tid").cast("int")))
+
+
+def header_tids(headers: DataFrame, header: str = "header") -> DataFrame:
+    """(tid): distinct ids in sequence headers, written as a bare number, ``tax_node_id N``, ``kp|N|`` or ``taxid=N``."""
+    found = F.regexp_extract(F.col(header), r"^\s*(\d+)\s*$|tax_node_id[ =|]+(\d+)|\bkp\|(\d+)\||\btaxid[=|](\d+)", 0)
+    return headers.select(F.regexp_extract(found, r"(\d+)", 1).alias("n")).where("n <> ''").select(F.col("n").cast("int").alias("tid")).distinct()
+
+
+def max_ids(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.max("tid").alias("max_tid"), F.max("parent").alias("max_parent"))
+
+
 def prune(tax: DataFrame, needed: DataFrame) -> DataFrame:
     """The nodes that are needed (tid) and all their ancestors."""
     return tax.join(ancestors(tax.join(needed, "tid", "left_semi"), True).select(F.col("node").alias("tid")).distinct(), "tid", "left_semi")

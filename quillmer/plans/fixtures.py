@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.kmers import canonical_windows, encode
 from ..operators import genes, index, labels, taxonomy
-
-K, CUTOFF, MIN_KMERS = 12, 10, 20
-_STORED: dict[tuple[str, str, str], str] = {}
-
-
-def _folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return f"{given.rstrip('/')}/stored-{uuid.uuid4().hex[:12]}"
-    return "file://" + tempfile.mkdtemp(prefix="quillmer-stored-") + "/t"
+from ..store import stored
+
+K, CUTOFF, MIN_KMERS, MIN_SCORE = 12, 10, 20, 0.6
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+# Taxa with rules of their own (host and plasmids, human, phage, synthetic, ignored), and the blocks of their genomes.
+SPECIAL_NODES = [
+    (20, 1, "specials", "family"), (150, 20, "special genus", "genus"), (460, 150, "host", "species"), (461, 460, "host strain", "strain"),
+    (9606, 150, "human", "species"), (63221, 9606, "human variant", "strain"), (10847, 150, "phage", "species"), (374840, 10847, "phage variant", "strain"),
+    (32630, 1, "synthetic", "species"), (10000001, 460, "plasmid one", None), (10000002, 460, "plasmid two", None), (20999999, 150, "ignored", "species"),
+]
+SPECIAL_GENOMES = [
+    (461, "host:0", "host:1", "host:2"), (9606, "human:0", "human:1", "human:2"), (63221, "human:0", "human:1", "human:3"),
+    (10847, "phage:0", "phage:1", "phage:2"), (374840, "phage:0", "phage:1", "phage:3"), (32630, "synth:0", "synth:1", "synth:2"),
+    (10000001, "plas:0", "plas:1", "host:2"), (10000002, "plas:0", "plas:1", "plas:2"), (20999999, "host:0", "ign:1", "ign:2"),
+]
+#: Reads of special genomes begin at every so many bases and are numbered from here.
+SPECIAL_STEP, SPECIAL_READS = 4, 900_000_000
 
 
 def dna(text: Column) -> Column:
@@ -39,10 +44,8 @@ class Fixtures:
         """A table that many queries read (the taxonomy, the index): built and written once a session."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORED:
-            path = _folder(self.spark)
-            build().write.parquet(path)
-            _STORED[key] = path
-        return self.spark.read.parquet(_STORED[key])
+            _STORED[key] = stored(self.spark, build(), f"fixture-{name}")
+        return _STORED[key]
 
     def nodes(self) -> DataFrame:
         cust = self.table("customer", "c_custkey", "c_nationkey", "c_mktsegment")
@@ -56,17 +59,24 @@ class Fixtures:
         nation = row(self.table("nation", "n_nationkey", "n_name", "n_regionkey"), F.col("n_nationkey") + 100, F.col("n_regionkey") + 10, F.col("n_name"), F.lit("genus"))
         middle = row(kinds, species, F.col("c_nationkey") + 100, F.col("c_mktsegment"), F.lit("species"))
         leaves = row(cust.join(F.broadcast(segs), "c_mktsegment"), (F.col("c_custkey") + 1000).cast("int"), species, F.concat(F.lit("customer "), F.col("c_custkey").cast("string")), F.lit("strain"))
-        return root.union(region).union(nation).union(middle).union(leaves)
+        special = self.spark.createDataFrame(SPECIAL_NODES, "tid int, parent int, name string, rank string")
+        return root.union(region).union(nation).union(middle).union(leaves).union(special)
 
     def tax(self) -> DataFrame:
-        return self.stored("tax", lambda: taxonomy.closure(self.nodes(), deepest=6))
+        return self.stored("tax", lambda: taxonomy.closure(self.nodes()))
+
+    def special_genomes(self) -> DataFrame:
+        """i, tid, seq: the genomes of the special taxa, numbered."""
+        rows = self.spark.createDataFrame([(i, *g) for i, g in enumerate(SPECIAL_GENOMES)], "i int, tid int, a string, b string, c string")
+        return rows.select("i", "tid", F.concat(*[dna(F.col(x)) for x in "abc"]).alias("seq"))
 
     def genomes(self) -> DataFrame:
         cust = self.table("customer", "c_custkey", "c_nationkey")
         full = cust.join(self.table("nation", "n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
         part = lambda kind, c: dna(F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")))
         seq = F.concat(part("region", "n_regionkey"), part("nation", "n_nationkey"), part("cust", "c_custkey"))
-        return full.select((F.col("c_custkey") + 1000).cast("int").alias("tid"), seq.alias("seq"))
+        own = full.select((F.col("c_custkey") + 1000).cast("int").alias("tid"), seq.alias("seq"))
+        return own.union(self.special_genomes().select("tid", "seq"))
 
     def reads(self) -> DataFrame:
         """read_id, seq, true_tid: cut from genomes, every tenth kind altered in its own way."""
@@ -78,31 +88,49 @@ class Fixtures:
             .when(kind == 1, F.reverse(F.translate(s, "acgt", "tgca"))).when(kind == 2, F.upper(s)).when(kind == 3, F.substring(s, 1, 8))
             .when(kind == 4, dna(F.concat(F.lit("noise:"), F.col("o_orderkey").cast("string")))).otherwise(s)
         )
-        return r.select(F.col("o_orderkey").alias("read_id"), new.alias("seq"), F.col("tid").alias("true_tid"))
+        own = r.select(F.col("o_orderkey").alias("read_id"), new.alias("seq"), F.col("tid").alias("true_tid"))
+        at = F.explode(F.sequence(F.lit(0), F.lit(46), F.lit(SPECIAL_STEP))).alias("o")
+        special = self.special_genomes().select("i", "tid", "seq", at)
+        number = (F.lit(SPECIAL_READS) + 10 * (F.col("i") * 100 + F.col("o")) + 5).cast("bigint")
+        return own.union(special.select(number, F.substring("seq", F.col("o") + 1, F.lit(50)), "tid"))
 
     def pairs(self) -> DataFrame:
         return self.stored("pairs", lambda: index.kmer_taxa(self.genomes(), K))
 
+    def codes(self) -> DataFrame:
+        """(code): the distinct k-mers of the index."""
+        return self.pairs().select("kmer").distinct().select(encode(F.col("kmer")).alias("code"))
+
     def subtree(self) -> DataFrame:
         return self.stored("subtree", lambda: index.subtree(self.pairs(), self.tax()))
 
     def pruned(self) -> DataFrame:
         return self.stored("pruned", lambda: index.rank_pruned(self.subtree(), taxonomy.numeric_rank(self.tax()), CUTOFF))
 
+    def label_index(self) -> DataFrame:
+        """The pruned index made ready for strict labelling."""
+        return self.stored("label_index", lambda: labels.strict_index(self.pruned(), self.tax()))
+
     def probs(self) -> DataFrame:
         """Label probabilities of all reads."""
+        return self.stored("probs", lambda: labels.label_probabilities(labels.read_kmers(self.reads(), K), self.label_index()))
 
-        def build() -> DataFrame:
-            found = labels.read_kmers(self.reads(), K)
-            strict = labels.most_specific(labels.position_taxa(found, self.pruned()), self.tax())
-            return labels.label_probabilities(labels.augmented(strict, self.tax()), found)
+    def null(self) -> DataFrame:
+        """(tid, gc_bin, cutoff) of all taxa but every thirteenth, which has no null model."""
+        bins = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("gc_bin")
+        cut = F.when(F.col("tid") % 11 == 0, F.lit(0.0)).otherwise(0.01 * (1 + F.col("tid") % 7) + 0.001 * F.col("gc_bin"))
+        return self.nodes().where("tid % 13 <> 5").select("tid", bins).select("tid", "gc_bin", cut.alias("cutoff"))
 
-        return self.stored("probs", build)
+    def labelled(self) -> DataFrame:
+        """All reads labelled from end to end."""
+        return self.stored("labelled", lambda: labels.label_reads(self.reads(), self.label_index(), self.tax(), self.null(), K, MIN_KMERS, min_score=MIN_SCORE))
+
+    def call_summary(self) -> DataFrame:
+        """(tid, wrc, rc) of the called reads."""
+        return labels.taxon_summary(self.labelled(), self.tax()).select("tid", "wrc", "rc")
 
     def feed(self, text: str) -> DataFrame:
         """(kmer): the canonical k-mers of one block."""
-        from ..functions.kmers import canonical_windows
-
         one = self.spark.range(1).select(dna(F.lit(text)).alias("seq"))
         return canonical_windows(one, K).select("kmer").distinct()
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kmers
-from ..operators import content, genes, index, labels, nullmodel, reports, taxonomy
-from .fixtures import CUTOFF, MIN_KMERS, Fixtures, K
+from ..operators import content, genes, index, labels, maps, nullmodel, reports, taxonomy
+from ..sources.writers import kmer_lines, record_lines
+from .fixtures import CUTOFF, MIN_KMERS, MIN_SCORE, Fixtures, K
 from .sql import rc, windows, with_parts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,9 +60,12 @@ def kmer_encode(f):
     return f.pairs().select("kmer").distinct().select("kmer", kmers.encode(F.col("kmer")).alias("code"))
 
 
-@query("select distinct kmer, kmer as decoded from pairs")
-def kmer_decode_roundtrip(f):
-    return f.pairs().select("kmer").distinct().select("kmer", kmers.decode(kmers.encode(F.col("kmer")), K).alias("decoded"))
+_DECODE = "array_to_string(list_transform(range(11, -1, -1), lambda j: substr('acgt', ((code >> (2 * j::int)) & 3)::int + 1, 1)), '')"
+
+
+@query("select i as code, " + _DECODE.replace("code", "i") + " as decoded from (select unnest(range(0, 16000000, 4001))::bigint as i)")
+def kmer_decode(f):
+    return f.spark.range(0, 16_000_000, 4001).select(F.col("id").alias("code"), kmers.decode(F.col("id"), K).alias("decoded"))
 
 
 @query(f"select distinct kmer, {rc('kmer')} as other from pairs")
@@ -108,21 +112,43 @@ def kmer_every_nth(f):
 
 @query("select valid as n_windows, count(*) as n_reads from bins where valid >= 5 group by 1")
 def read_profile_hist(f):
-    n = kmers.valid_count(F.col("seq"), K)
-    return f.reads().select(n.alias("n_windows")).where("n_windows >= 5").groupBy("n_windows").agg(F.count("*").alias("n_reads"))
+    return kmers.profile(f.reads(), K, 5)
 
 
 @query("select b as bucket, count(*) as n_kmers from (select distinct kmer, (" + _CODE + ") % 16 as b from pairs) group by b")
 def kmer_bucket_counts(f):
-    code = kmers.encode(F.col("kmer"))
-    return f.pairs().select("kmer").distinct().groupBy(F.pmod(code, F.lit(16)).alias("bucket")).agg(F.count("*").alias("n_kmers"))
+    return kmers.bucket_counts(f.codes(), 16)
 
 
 @query(f"""select 8 as k, count(distinct kmer) as n_kmers from ({windows('genomes', 'tid', 8)})
   union all select 10, count(distinct kmer) from ({windows('genomes', 'tid', 10)})""")
 def kmer_multi_k(f):
-    each = [kmers.canonical_windows(f.genomes(), k).agg(F.count_distinct("kmer").alias("n_kmers")).select(F.lit(k).alias("k"), "n_kmers") for k in (8, 10)]
-    return each[0].union(each[1])
+    return kmers.multi_k(f.genomes(), [8, 10]).groupBy("k").agg(F.count_distinct("kmer").alias("n_kmers"))
+
+
+@query(f"""with w as (select read_id, pos, f from (select read_id, p - 1 as pos, substr(s, p, 12) as f from
+    (select read_id, lower(seq) as s, unnest(range(1, length(seq) - 10)) as p from reads)) where regexp_full_match(f, '[acgt]+')),
+  b as (select read_id, pos, 1 as strand, f as kmer from w union all select read_id, pos, -1, {rc('f')} from w)
+  select read_id, pos, strand, {_CODE} as code from b""".replace("with w as", "select * from (with w as") + ")")
+def kmer_both_strands(f):
+    out = kmers.both_strands(f.reads(), K, keep=("read_id",))
+    return out.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(f"select kmer, list_reduce(list_transform(string_split(kmer, ''), lambda x: case x when 'a' then '00' when 'c' then '01' when 'g' then '10' else '11' end), lambda a, b: a || b) as bits from (select distinct kmer from pairs)")
+def kmer_bits(f):
+    return f.pairs().select("kmer").distinct().select("kmer", kmers.bits(kmers.encode(F.col("kmer")), K).alias("bits"))
+
+
+_WINDOW_LIST = "list_filter(list_transform(range(1, greatest(length(seq) - 10, 1)), lambda i: lower(substr(seq, i, 12))), lambda w: regexp_full_match(w, '[acgt]+'))"
+
+
+@query(f"select read_id, array_to_string(list_transform({_WINDOW_LIST}, lambda w: least(w, reverse(translate(w, 'acgt', 'tgca')))), ',') as kmers from reads")
+def sql_kmers_of(f):
+    """The registered SQL functions, used from SQL text."""
+    kmers.register_sql(f.spark)
+    f.reads().createOrReplaceTempView("quillmer_reads")
+    return f.spark.sql(f"select read_id, array_join(kmers_of(seq, {K}), ',') as kmers from quillmer_reads")
 
 
 @query("select read_id, i as piece, substr(seq, 1 + 20 * i, 20) as seq from (select *, unnest(range(0, length(seq) // 20)) as i from reads)")
@@ -131,18 +157,17 @@ def read_chop(f):
     return pieces.select("read_id", F.col("piece").cast("bigint").alias("piece"), "seq")
 
 
-@query("select a.read_id, a.seq || 'n' || b.seq as seq from reads a join reads b on b.read_id = a.read_id + 1 where a.read_id % 2 = 0")
+@query("select a.read_id, case when b.read_id is null then a.seq else a.seq || 'n' || b.seq end as seq from reads a left join reads b on b.read_id = a.read_id + 1")
 def read_mates(f):
     a, b = f.reads().select("read_id", "seq"), f.reads().select((F.col("read_id") - 1).alias("read_id"), F.col("seq").alias("mate"))
-    return a.where("read_id % 2 = 0").join(b, "read_id").select("read_id", kmers.join_mates(F.col("seq"), F.col("mate")).alias("seq"))
+    return a.join(b, "read_id", "left").select("read_id", kmers.join_mates(F.col("seq"), F.col("mate")).alias("seq"))
 
 
 @query(f"""select w.read_id, round(count(i.kmer) / count(*), 9) as presence from ({windows('reads', 'read_id')}) w
   left join (select distinct kmer from pairs) i using (kmer) group by w.read_id""")
 def kmer_presence_fraction(f):
     w = kmers.canonical_windows(f.reads(), K, keep=("read_id",))
-    hit = w.join(f.pairs().select("kmer").distinct().withColumn("hit", F.lit(1)), "kmer", "left")
-    return hit.groupBy("read_id").agg(F.round(F.count("hit") / F.count("*"), 9).alias("presence"))
+    return index.presence(w, f.pairs()).select("read_id", r9("presence"))
 
 
 # ---- taxonomy
@@ -178,14 +203,53 @@ def tax_species_map(f):
     return taxonomy.species_map(f.tax())
 
 
-@query("select tid, replace(rank, ' ', '_') as rank from nodes")
+@query("select n.tid, replace(coalesce(n.rank, p.rank), ' ', '_') as rank from nodes n left join nodes p on p.tid = n.parent")
 def tax_rank_fallback(f):
     return taxonomy.rank_or_parents(f.nodes())
 
 
-@query("select distinct node as tid from up where tid % 97 = 0")
+@query("select distinct node as tid from up where tid in (select true_tid from reads)")
 def tax_prune(f):
-    return taxonomy.prune(f.tax(), f.nodes().where("tid % 97 = 0").select("tid")).select("tid")
+    return taxonomy.prune(f.tax(), f.reads().select(F.col("true_tid").alias("tid")).distinct()).select("tid")
+
+
+@query("select u.tid, array_to_string(list_sort(list(distinct m.rank)), ',') as ranks from up u join nodes m on m.tid = u.node where m.rank is not null group by u.tid")
+def tax_rank_sets(f):
+    return taxonomy.rank_sets(f.tax()).select("tid", F.array_join("ranks", ",").alias("ranks"))
+
+
+@query("""with d as (select tid, row_number() over (order by tid) as dense from nodes where tid in (select node from up where tid in (select true_tid from reads)))
+  select a.dense as tid, b.dense as parent, n.name, n.rank from nodes n join d a using (tid) join d b on b.tid = n.parent""".replace("with d as", "select * from (with d as") + ")")
+def tax_renumbered(f):
+    needed = taxonomy.prune(f.tax(), f.reads().select(F.col("true_tid").alias("tid")).distinct())
+    return taxonomy.renumbered(f.nodes(), taxonomy.dense_ids(needed.select("tid")))
+
+
+@query("""select 200 + 10 * c_nationkey as tid, c_name as header, c_custkey % 3 = 0 as plasmid,
+  case when c_custkey % 3 = 0 then 10000000 + sum(case when c_custkey % 3 = 0 then 1 else 0 end) over (order by c_nationkey, c_name) else 200 + 10 * c_nationkey end::int as new_tid from customer""")
+def tax_segments(f):
+    rows = f.table("customer", "c_custkey", "c_name", "c_nationkey")
+    return taxonomy.segment_ids(rows.select((200 + 10 * F.col("c_nationkey")).alias("tid"), F.col("c_name").alias("header"), (F.col("c_custkey") % 3 == 0).alias("plasmid")))
+
+
+def _headers(f):
+    kind, n = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    form = F.when(kind == 0, n).when(kind == 1, F.concat(F.lit("gi|77|x tax_node_id "), n)).when(kind == 2, F.concat(F.lit("kp|"), n, F.lit("| y"))).otherwise(F.lit("none 12"))
+    return f.table("customer", "c_custkey").select("c_custkey", form.alias("header"))
+
+
+@query("select c_custkey::int as tid from customer where c_custkey % 4 < 3")
+def tax_header_tids(f):
+    return taxonomy.header_tids(_headers(f))
+
+
+@query("""select tid, case when exists (select 1 from up u where u.tid = n.tid and u.node in (9606, 63221, 741158)) then 'human'
+  when exists (select 1 from up u where u.tid = n.tid and u.node = 10) then 'eukaryote' else 'other' end as kind from (select * from nodes) n""")
+def tax_groups(f):
+    """Groups of life; the first region stands for the eukaryotes."""
+    path = F.transform("path", lambda t: F.when(t == 10, F.lit(taxonomy.EUKARYOTES)).otherwise(t))
+    own = F.when(F.col("tid") == 10, F.lit(taxonomy.EUKARYOTES)).otherwise(F.col("tid"))
+    return f.tax().select("tid", taxonomy.group_of(own, path).alias("kind"))
 
 
 @query("select tid, row_number() over (order by tid) as dense from nodes")
@@ -195,7 +259,7 @@ def tax_dense_ids(f):
 
 @query("select max(tid) as max_tid, max(parent) as max_parent from nodes")
 def tax_max_ids(f):
-    return f.nodes().agg(F.max("tid").alias("max_tid"), F.max("parent").alias("max_parent"))
+    return taxonomy.max_ids(f.nodes())
 
 
 @query("select u.tid, string_agg(m.name, chr(9) order by steps desc) as lineage from up u join nodes m on m.tid = u.node where m.rank <> 'no_rank' group by u.tid")
@@ -262,12 +326,12 @@ def index_adaptor_override(f):
 
 @query("select distinct kmer from pairs where kmer in (select kmer from rkmers)")
 def index_intersect(f):
-    return f.pairs().select("kmer").distinct().join(labels.read_kmers(f.reads(), K).select("kmer"), "kmer", "left_semi")
+    return index.intersect(f.pairs(), labels.read_kmers(f.reads(), K))
 
 
 @query("select distinct kmer from rkmers where kmer not in (select kmer from pairs)")
 def index_anti(f):
-    return labels.read_kmers(f.reads(), K).select("kmer").distinct().join(f.pairs(), "kmer", "left_anti")
+    return index.missing(f.pairs(), labels.read_kmers(f.reads(), K))
 
 
 @query("select kmer, tid from pairs union select kmer, gid + 5000000 from gindex")
@@ -278,8 +342,50 @@ def index_merge(f):
 @query("""select round((k * 8 + (p - s) * 4 + (k - s) * 4) / 1e9 + 2, 9) as size_gb from (select count(distinct kmer) as k, count(*) as p,
   (select count(*) from (select kmer from pairs group by kmer having count(*) = 1)) as s from pairs)""")
 def index_size_estimate(f):
-    by = f.pairs().groupBy("kmer").agg(F.count("*").alias("n")).agg(F.count("*").alias("k"), F.sum("n").alias("p"), F.count_if(F.col("n") == 1).alias("s"))
-    return by.select(F.round((F.col("k") * 8 + (F.col("p") - F.col("s")) * 4 + (F.col("k") - F.col("s")) * 4) / 1e9 + 2, 9).alias("size_gb"))
+    return index.size_estimate(f.pairs()).select(r9("size_gb"))
+
+
+@query(f"""select read_id, pos, coalesce(n, 0)::int as n, coalesce(tids, '') as tids from ({windows('reads', 'read_id')}) left join
+  (select kmer, count(*) as n, array_to_string(list_sort(list(tid)), ' ') as tids from pruned group by kmer) using (kmer)""")
+def index_lookup(f):
+    w = kmers.canonical_windows(f.reads(), K, keep=("read_id",))
+    out = index.lookups(w, f.pruned()).withColumn("pos", F.col("pos").cast("bigint"))
+    return out.select("read_id", "pos", "n", F.array_join(F.transform("tids", lambda t: t.cast("string")), " ").alias("tids"))
+
+
+@query(f"select (({_CODE}) >> 12) // 683 as slot, count(*) as n_kmers from (select distinct kmer from pairs) group by 1".replace(">> 12) // 683", ">> 12)::int // 683"))
+def index_occupancy(f):
+    return index.occupancy(f.codes(), K, 6, 6)
+
+
+@query("""select case c when 0 then 'repeated key' when 1 then 'empty list' when 2 then 'repeated tid' else 'unsorted list' end as fault,
+  case c when 0 then 1 else (select count(distinct kmer) from pairs where substr(kmer, 1, 3) = 'aaa') end as n from (select unnest(range(0, 4)) as c)""")
+def index_faults(f):
+    """Faults planted in the stored records: each kind in every list of the k-mers that begin with aaa, and one key twice."""
+    good = index.lists(f.pairs())
+    hit = good.where("kmer like 'aaa%'")
+    empty = hit.select(F.concat(F.lit("1"), "kmer").alias("kmer"), F.array().cast("array<int>").alias("tids"))
+    twice = hit.select(F.concat(F.lit("2"), "kmer").alias("kmer"), F.array(F.element_at("tids", 1), F.element_at("tids", 1)).alias("tids"))
+    turned = hit.select(F.concat(F.lit("3"), "kmer").alias("kmer"), F.array(F.lit(2), F.lit(1)).alias("tids"))
+    first = good.orderBy("kmer").limit(1)
+    return index.faults(good.union(empty).union(twice).union(turned).union(first))
+
+
+@query("select tid, max(n) as n, kmer from (select kmer, tid, length(kmer) + tid % 5 as n from pairs union all select kmer, tid, length(kmer) + tid % 7 from pairs) group by kmer, tid")
+def index_keep_largest(f):
+    n = lambda m: f.pairs().select("kmer", "tid", (F.char_length("kmer") + F.col("tid") % m).cast("bigint").alias("n"))
+    return index.keep_largest(n(5).union(n(7)))
+
+
+@query("select kmer || ' ' || string_agg(tid::varchar, ' ' order by tid) as value from pruned group by kmer")
+def index_kmer_lines(f):
+    return kmer_lines(index.lists(f.pruned()))
+
+
+@query(f"select ({_CODE}) || ' ' || kmer || ' ' || count(*) || ' ' || string_agg(tid::varchar, ' ' order by tid) as value from pruned group by kmer")
+def index_record_lines(f):
+    coded = index.lists(f.pruned()).select(kmers.encode(F.col("kmer")).alias("kmer"), "tids")
+    return record_lines(coded, K)
 
 
 # ---- labels
@@ -289,30 +395,25 @@ def _probs(f):
     return f.probs()
 
 
-def _null(f):
-    bins = f.spark.range(10).select(F.col("id").cast("int").alias("gc_bin"))
-    cut = F.when(F.col("tid") % 11 == 0, F.lit(0.0)).otherwise(0.01 * (1 + F.col("tid") % 7) + 0.001 * F.col("gc_bin"))
-    return f.nodes().select("tid").crossJoin(F.broadcast(bins)).select("tid", "gc_bin", cut.alias("cutoff"))  # ten bins a taxon
-
-
 def _odds(f):
     binned = f.reads().select("read_id", kmers.gc_bin(F.col("seq"), K).alias("gc_bin"))
-    return labels.log_odds(_probs(f).join(binned, "read_id"), _null(f), f.tax())
+    return labels.log_odds(_probs(f).join(binned, "read_id"), f.null(), f.tax())
 
 
-def _outcome(f):
-    return labels.outcome(f.reads(), labels.top_taxon(_probs(f), f.tax()), K, MIN_KMERS)
+def _top_outcome(f):
+    likeliest = labels.top_taxon(_probs(f), f.tax()).withColumn("match_type", F.lit(labels.DIRECT))
+    return labels.outcome(f.reads(), likeliest, K, MIN_KMERS)
 
 
 @query("select read_id, pos, tid from strict")
 def read_strict_taxa(f):
-    hits = labels.most_specific(labels.position_taxa(labels.read_kmers(f.reads(), K), f.pruned()), f.tax())
+    hits = labels.position_taxa(labels.read_kmers(f.reads(), K), f.label_index())
     return hits.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("select distinct read_id, pos, u.node as tid from hits0 join up u using (tid)")
 def read_permissive_taxa(f):
-    hits = labels.all_lineages(labels.position_taxa(labels.read_kmers(f.reads(), K), f.pruned()), f.tax())
+    hits = labels.position_taxa(labels.read_kmers(f.reads(), K), labels.permissive_index(f.pruned(), f.tax()))
     return hits.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -328,8 +429,13 @@ def read_label_prob(f):
 
 @query("select read_id, species, tid, n from repr")
 def read_representative_strain(f):
-    strict = labels.most_specific(labels.position_taxa(labels.read_kmers(f.reads(), K), f.pruned()), f.tax())
-    return labels.representative_strains(strict, f.tax())
+    strict = labels.representative_strains(labels.strict_hits(labels.read_kmers(f.reads(), K), f.label_index()))
+    return strict.where("represents").select("read_id", "species", "tid", F.size("places").cast("bigint").alias("n"))
+
+
+@query("select p.read_id, count(distinct h.pos) as n_found from (select distinct read_id from probs) p join hits0 h using (read_id) group by p.read_id")
+def read_found_kmers(f):
+    return _probs(f).select("read_id", "n_found").distinct()
 
 
 @query("select read_id, tid, round(score, 9) as score from odds")
@@ -352,20 +458,73 @@ def read_top_taxon(f):
     return labels.top_taxon(_probs(f), f.tax()).select("read_id", "tid", r9("score"))
 
 
+@query("select read_id, tid, round(prob, 9) as score from probs")
+def read_plain_scores(f):
+    """Scores without a null model."""
+    return labels.log_odds(_probs(f), None, f.tax()).select("read_id", "tid", r9("score"))
+
+
+@query("""select read_id, tid, round(case when n_kmers > 30 then prob else ln(prob / chance) end, 9) as score from (
+    select read_id, tid, prob, n_kmers, max(coalesce(case when n_kmers > 22 then cutoff * 2 else cutoff end + 0.0001, 1.0))
+      over (partition by read_id order by rank_class range between unbounded preceding and current row) as chance
+    from probs join bins using (read_id) left join nullm using (tid, gc_bin) join classes using (tid))""")
+def read_bucket_scores(f):
+    """Scores with null models for reads of about 15 and 30 k-mers, and none for those of about 31 and more."""
+    binned = f.reads().select("read_id", kmers.gc_bin(F.col("seq"), K).alias("gc_bin"))
+    model = f.null().withColumn("read_kmers", F.lit(15)).union(f.null().select("tid", "gc_bin", F.col("cutoff") * 2, F.lit(30)))
+    return labels.log_odds(_probs(f).join(binned, "read_id"), model, f.tax(), [15, 30, 31]).select("read_id", "tid", r9("score"))
+
+
+@query("""select read_id, array_to_string(list(tid || ':' || rounded order by rounded desc, depth desc, tid desc), ' ') as candidates from (
+  select read_id, tid, round(score, 3) as rounded, depth from odds join tax using (tid)) where rounded >= 0.001 group by read_id""")
+def read_candidate_list(f):
+    """The candidates whose scores are 0.001 or more, best first."""
+    cands = labels.candidates(_odds(f), f.tax()).select("read_id", F.filter("cands", lambda c: c["rounded"] >= 0.001).alias("cands")).where(F.size("cands") > 0)
+    text = F.transform(labels.candidate_list(F.col("cands")), lambda c: F.concat_ws(":", c["tid"].cast("string"), F.round(c["score"], 3).cast("string")))
+    return cands.select("read_id", F.array_join(text, " ").alias("candidates"))
+
+
 @query()
 def read_label_call(f):
-    scored = _odds(f)
-    return labels.call_reads(labels.candidates(scored, f.tax()).select("read_id", "top", "stdev", "cands"))
+    return labels.call_reads(labels.candidates(_odds(f), f.tax()), min_kmers=MIN_KMERS)
 
 
-@query("select reason, count(*) as n_reads from outcome where reason is not null group by reason")
+@query()
+def read_labels(f):
+    """Reads labelled from end to end."""
+    out = f.labelled()
+    return out.select("read_id", "n_kmers", "valid_kmers", r9("avg"), r9("stdev"), F.size("candidates").alias("n_candidates"), "tid", r9("score"), "match_type", "reason")
+
+
+@query()
 def nomatch_summary(f):
-    return labels.nomatch_summary(_outcome(f))
+    return labels.nomatch_summary(f.labelled())
 
 
-@query("select tid, name, round(sum(score), 9) as wrc, count(*) as rc from outcome join nodes using (tid) where reason is null group by tid, name")
+@query()
 def taxon_summary(f):
-    return labels.taxon_summary(_outcome(f), f.tax()).select("tid", "name", r9("wrc"), "rc")
+    return labels.taxon_summary(f.labelled(), f.tax()).select("tid", "name", r9("wrc"), "rc")
+
+
+@query()
+def rebinned_summary(f):
+    return labels.rebinned(f.labelled(), f.tax(), 1.5, 25).select("tid", "name", r9("wrc"), "rc")
+
+
+@query()
+def call_rank_report(f):
+    """The rank report of the called reads."""
+    return reports.rank_report(f.call_summary(), f.tax(), ["species", "genus", "family"]).select("rank", "tid", "name", r9("wrc"), "rc", r9("avg"))
+
+
+@query("select reason, count(*) as n_reads from outcome where reason is not null group by reason")
+def top_nomatch_summary(f):
+    return labels.nomatch_summary(_top_outcome(f))
+
+
+@query("select tid, name, round(sum(score), 9) as wrc, count(*) as rc from outcome join nodes using (tid) where reason is null group by tid, name")
+def top_taxon_summary(f):
+    return labels.taxon_summary(_top_outcome(f), f.tax()).select("tid", "name", r9("wrc"), "rc")
 
 
 # ---- reports
@@ -414,20 +573,106 @@ def compare_summaries(f):
     return reports.compare(f.samples().where("sample = 'A'"), f.samples().where("sample = 'R'"))
 
 
-@query("""select case when t.tid is null then 'missed' when t.tid = r.true_tid then 'found' else 'wrong' end as status, count(*) as n
-  from reads r left join top t using (read_id) group by 1""")
+_FULL = """with ga as (select * from gtaxa join (select p_partkey as gid, case when p_size % 5 = 0 then 'rRNA' else 'CDS' end as type from part) using (gid)),
+  gb as (select u.node as tid, gid, type, sum(rc) as rc from ga join up u using (tid) group by u.node, gid, type),
+  gn as (select tid, count(*) filter (rc > 3) as n_genes, coalesce(sum(rc) filter (rc > 3), 0)::bigint as gene_reads,
+    round(sum(case when type = 'rRNA' then rc else 0 end) / sum(rc), 9) as rrna_share from gb group by tid),
+  st as (select species as tid, arg_min(tid, (-round(wrc, 6), tid)) as top_strain from summary join species using (tid) where tid in (select tid from nodes where rank = 'strain') group by species)
+  select n.rank, n.tid, n.name, round(sum(wrc), 6) as wrc, sum(rc)::bigint as rc, any_value(st.top_strain) as top_strain, coalesce(any_value(gn.n_genes), 0) as n_genes,
+    coalesce(any_value(gn.gene_reads), 0) as gene_reads, any_value(gn.rrna_share) as rrna_share
+  from summary s join up u using (tid) join nodes n on n.tid = u.node left join gn on gn.tid = n.tid left join st on st.tid = n.tid
+  where n.rank in ('species', 'genus') group by n.rank, n.tid, n.name"""
+
+
+@query("select * from (" + _FULL + ")")
+def rank_report_full(f):
+    kinds = f.table("part", "p_partkey", "p_size").select(F.col("p_partkey").alias("gid"), F.when(F.col("p_size") % 5 == 0, "rRNA").otherwise("CDS").alias("type"))
+    tidy = f.summary().withColumn("wrc", F.round("wrc", 6))
+    out = reports.full_report(tidy, f.tax(), ["species", "genus"], _gene_taxa(f).join(kinds, "gid"), 3)
+    return out.select("rank", "tid", "name", F.round("wrc", 6).alias("wrc"), "rc", "top_strain", "n_genes", "gene_reads", r9("rrna_share"))
+
+
+@query()
+def ordered_summary(f):
+    """The called reads by genus, with the spectra's peaks of the genus itself."""
+    peaks = content.second_peak(_spectrum(f))
+    out = reports.ordered_summary(f.call_summary(), f.tax(), "genus", peaks)
+    return out.select("tid", "name", r9("wrc"), "rc", r9("percent"), "top_strain", F.size("spectra").alias("n_spectra"))
+
+
+@query("""select case when t.tid is null then 'missed' when (case when t.tid = 63221 then 9606 else t.tid end) = (case when r.true_tid = 63221 then 9606 else r.true_tid end)
+  then 'found' else 'wrong' end as status, count(*) as n from reads r left join top t using (read_id) group by 1""")
 def truth_check(f):
+    """The likeliest taxa against the truth; a human variant is a synonym of human."""
     calls = labels.top_taxon(_probs(f), f.tax()).select("read_id", F.col("tid").cast("string").alias("name"))
-    return reports.truth_check(calls, f.reads().select("read_id", F.col("true_tid").cast("string").alias("name")))
+    same = f.spark.createDataFrame([("63221", "9606")], "name string, other string")
+    return reports.truth_check(calls, f.reads().select("read_id", F.col("true_tid").cast("string").alias("name")), same)
 
 
-@query("""select n.parent as main_tid, read_id, seq from outcome o join nodes n using (tid) join reads using (read_id)
-  where reason is null and score >= 0.5 and n.rank = 'species'""")
+@query("""select n.parent::varchar as main, read_id || ';tid=' || o.tid || ';score=' || printf('%.4f', score) || ';mtype=DirectMatch;valid_kmers=' || valid as header, seq
+    from outcome o join nodes n using (tid) join reads using (read_id) join bins using (read_id) where reason is null and score >= 0.5 and n.rank = 'species'
+  union all select reason, read_id || ';tid=' || coalesce(o.tid, -1) || ';score=' || coalesce(printf('%.4f', score), '-1') || ';mtype=' || case when o.tid is null then 'NoMatch' else 'DirectMatch' end
+    || ';valid_kmers=' || coalesce(valid, 0), seq from outcome o join reads using (read_id) left join bins using (read_id) where reason = 'ReadTooShort'""")
 def pulled_reads(f):
+    """Reads of the likeliest taxa by genus, and those that were too short."""
     groups = f.nodes().where("rank = 'species'").select("tid", F.col("parent").alias("main_tid"))
-    out = _outcome(f).withColumn("match_type", F.lit(labels.DIRECT))
-    got = reports.pull_reads(f.reads(), out, groups, 0.5)
-    return got.select("main_tid", F.substring_index("header", ";", 1).cast("bigint").alias("read_id"), "seq")
+    return reports.pull_reads(f.reads(), _top_outcome(f), groups, 0.5, (labels.SHORT,))
+
+
+@query("select tid, sum(rc)::bigint || chr(9) || lineage as line from summary join (select u.tid, string_agg(m.name, chr(9) order by steps desc) as lineage from up u join nodes m on m.tid = u.node where m.rank <> 'no_rank' group by u.tid) using (tid) where rc > 20 and round(wrc / rc, 9) >= 0.045 group by tid, lineage")
+def krona_lines(f):
+    tidy = f.summary().withColumn("wrc", F.round(F.col("wrc") / F.col("rc"), 9) * F.col("rc"))
+    near = maps.krona(tidy.withColumn("wrc", F.col("wrc") + 1e-12), taxonomy.lineage(f.tax()), 20, 0.045)
+    return near
+
+
+@query("select tid from (select u.tid, string_agg(m.name, chr(9) order by steps desc) as lineage from up u join nodes m on m.tid = u.node where m.rank <> 'no_rank' group by u.tid) join summary using (tid) where regexp_matches(lineage, '(?i)(asia|europe).*building')")
+def lineage_tids(f):
+    """The taxa of a summary whose lineage holds the words."""
+    found = maps.lineage_matches(taxonomy.lineage(f.tax()), "(asia|europe).*building")
+    return f.summary().select("tid").join(found, "tid", "left_semi")
+
+
+@query("select c_custkey, c_name as header, 1000 + c_custkey as tid from customer where c_mktsegment <> 'MACHINERY'")
+def header_join(f):
+    known = f.table("customer", "c_custkey", "c_name", "c_mktsegment").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_name").alias("header"), (F.col("c_custkey") + 1000).alias("tid"))
+    return maps.with_tids(f.table("customer", "c_custkey", "c_name").withColumnRenamed("c_name", "header"), known)
+
+
+@query("select c_name as header from customer where c_mktsegment = 'MACHINERY'")
+def header_unmapped(f):
+    known = f.table("customer", "c_name", "c_mktsegment").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_name").alias("header"))
+    return maps.unmapped(f.table("customer", "c_name").withColumnRenamed("c_name", "header"), known)
+
+
+@query("select 's gi|' || l_partkey || '| z' as header, l_partkey as gi, (1000 + l_suppkey)::bigint as tid from lineitem where l_linenumber = 1")
+def gi_join(f):
+    line = f.table("lineitem", "l_partkey", "l_suppkey", "l_linenumber", "l_orderkey").where("l_linenumber = 1")
+    rows = line.select(F.concat(F.lit("s gi|"), F.col("l_partkey").cast("string"), F.lit("| z")).alias("header"), (1000 + F.col("l_suppkey")).alias("own"), "l_orderkey")
+    gis = line.select(F.col("l_partkey").alias("gi"), (1000 + F.col("l_suppkey")).alias("tid")).distinct()
+    return maps.gi_tids(rows, gis).where("own = tid").select("header", "gi", "tid")
+
+
+@query("select tid, name from nodes where tid < 10000000 and not (lower(name) like '%phage%' or lower(name) like '%building%')")
+def public_taxa(f):
+    rows = f.nodes().select("tid", F.col("name").alias("header"))
+    return maps.public(rows, ("phage", "Building")).select("tid", F.col("header").alias("name"))
+
+
+@query("select read_id, seq from reads where read_id in (select l_partkey from lineitem)")
+def reads_in_set(f):
+    wanted = f.table("lineitem", "l_partkey").select(F.col("l_partkey").alias("read_id")).distinct()
+    return maps.in_set(f.reads().select("read_id", "seq"), wanted, "read_id")
+
+
+@query("""select c_custkey as name, 1 + c_custkey % 90 as pos, substr(seq, (1 + c_custkey % 90)::int, 1) as ref, 'n' as alt,
+  substr(seq, greatest(1, c_custkey % 90 - 14)::int, least(15, c_custkey % 90)::int) as before, substr(seq, (2 + c_custkey % 90)::int, 15) as after
+  from customer join genomes on tid = 1000 + c_custkey""")
+def variant_context(f):
+    seqs = f.genomes().where("tid >= 1000 and tid <> 9606 and tid <> 63221").select((F.col("tid") - 1000).cast("bigint").alias("name"), "seq")
+    at = f.table("customer", "c_custkey").select(F.col("c_custkey").alias("name"), (1 + F.col("c_custkey") % 90).cast("int").alias("pos"))
+    variants = at.join(seqs, "name").select("name", "pos", F.substring("seq", F.col("pos"), F.lit(1)).alias("ref"), F.lit("n").alias("alt"))
+    return maps.variant_context(variants, seqs).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("""with seen as (select distinct u.node as tid from summary join up u using (tid)) select t.tid, t.depth,
@@ -447,12 +692,10 @@ def gene_best(f):
 
 def _calls(f):
     line = f.table("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_discount")
-    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), (F.col("l_suppkey") + 1000).alias("tid"), F.col("l_discount").alias("score"))
+    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), (F.col("l_suppkey") + 1000).cast("int").alias("tid"), F.col("l_discount").alias("score"))
 
 
-_GTAXA = """select gid, tid, count(*) as rc, sum(gscore) as score_sum, count(*) filter (score >= 0.05) as rc_tax, coalesce(sum(gscore) filter (score >= 0.05), 0) as score_sum_tax
-  from gbest join (select l_orderkey * 10 + l_linenumber as read_id, 1000 + l_suppkey as tid, l_discount as score from lineitem) using (read_id)
-  where gscore > 0.1 and hits > 20 group by gid, tid"""
+_GTAXA = "select * from gtaxa"
 
 
 def _gene_taxa(f):
@@ -487,6 +730,24 @@ def gene_functions(f):
     return genes.functions_table(_gene_taxa(f), proteins, functions)
 
 
+@query("select kmer, gid from gindex where kmer not in (select kmer from gindex group by kmer having count(*) > 2)")
+def gene_index_limited(f):
+    return genes.limited(f.gene_index(), 2)
+
+
+@query("select gid, 0 as tid, count(*) as rc, round(sum(gscore), 9) as score_sum, 0::bigint as rc_tax from gbest where gscore > 0.1 and hits > 20 group by gid")
+def genes_of_raw_reads(f):
+    raw = genes.uncalled(f.gene_reads().dropDuplicates(["read_id"]))
+    return genes.gene_taxa(f.gene_best(), raw, 0.1, 20, 1.0).select("gid", "tid", "rc", r9("score_sum"), "rc_tax")
+
+
+@query()
+def gene_called_reads(f):
+    """Labelled reads for the gene step, by whether they have a taxon."""
+    rows = genes.called(f.labelled())
+    return rows.groupBy((F.col("tid") > 0).alias("has_taxon")).agg(F.count("*").alias("n_reads"))
+
+
 # ---- content
 
 
@@ -519,6 +780,52 @@ def kmer_upper_median(f):
     return content.upper_median_multiplicity(counted)
 
 
+@query()
+def content_reads(f):
+    """The called reads that a content summary counts: species and strains, without humans and phages."""
+    return content.counted_reads(f.labelled(), f.tax(), 1.0, ["species", "strain"], ["phage"])
+
+
+@query("""select s.* from (""" + _SPECTRUM + """) s join (select true_tid as tid from reads group by 1 having count(*) > 9) using (tid) join nodes n using (tid) where coalesce(n.rank, 'no_rank') <> 'no_rank'""")
+def reported_spectra(f):
+    calls = f.reads().select("read_id", F.col("true_tid").alias("tid"))
+    return content.reported_spectra(_spectrum(f), calls, f.tax(), 9)
+
+
+@query("select read_id, coalesce(case when x.rank is null then x.tid else species end, x.tid) as tid from reads r join nodes x on x.tid = r.true_tid join species using (tid)")
+def species_reads(f):
+    """True taxa of reads moved to their species; plasmids stay."""
+    calls = f.reads().select("read_id", F.col("true_tid").alias("tid"))
+    return content.species_calls(calls, taxonomy.species_map(f.tax())).select("read_id", "tid")
+
+
+@query("""select tid, round(copies / sum(copies) over (), 9) as abundance from (select true_tid as tid, count(*) / any_value(n) as copies
+  from reads join (select tid as true_tid, count(*) as n from pairs group by tid) using (true_tid) group by true_tid)""")
+def genome_abundance(f):
+    sizes = f.pairs().groupBy("tid").agg(F.count("*").alias("genome_kmers"))
+    counts = f.reads().groupBy(F.col("true_tid").alias("tid")).agg(F.count("*").alias("cnt")).join(sizes, "tid")
+    return reports.genome_abundance(counts).select("tid", r9("abundance"))
+
+
+@query("select '<tr class=\"' || case when tid in (9606, 63221) then 'human' else 'other' end || '\"><td>' || tid || '</td><td>' || name || '</td><td>' || rc || '</td></tr>' as line from summary join nodes using (tid)")
+def organisms_html(f):
+    named = f.summary().join(f.nodes().select("tid", "name"), "tid")
+    return reports.organisms_html(named.select("tid", "name", "rc"), f.tax())
+
+
+@query("""select -2::bigint as place, '@Creator' || chr(9) || 'quillmer' as line union all select -1, '@Names' || chr(9) || 'A' || chr(9) || 'N' || chr(9) || 'R'
+  union all select tid, tid || chr(9) || coalesce(sum(rc) filter (sample = 'A'), 0)::bigint || chr(9) || coalesce(sum(rc) filter (sample = 'N'), 0)::bigint || chr(9) || coalesce(sum(rc) filter (sample = 'R'), 0)::bigint
+  from samples group by tid""")
+def sample_matrix_lines(f):
+    return reports.matrix_lines(reports.sample_table(f.samples(), ["A", "N", "R"], 0, -1.0), ["A", "N", "R"])
+
+
+@query("select kind, n from (select 'bases' as kind, sum(length(seq))::bigint as n from reads union all select 'reads', count(*) from reads)")
+def read_totals(f):
+    total = f.reads().agg(F.sum(F.char_length("seq")).alias("bases"), F.count("*").alias("reads"))
+    return total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("n")) for c in ("bases", "reads")])).alias("x")).select("x.*")
+
+
 # ---- null model
 
 
@@ -528,21 +835,48 @@ def null_model_bins(f):
     return nullmodel.observed(_probs(f).join(binned, "read_id")).select("tid", "gc_bin", r9("max_prob"), "n")
 
 
-@query("""with m as (select tid, tid * 1000 as kcnt, b as gc_bin, case when (tid + b) % 3 = 0 then 0 else 1 end as obs, 0.01 * (1 + (tid * b) % 7) as c
-    from nodes, (select unnest(range(0, 10)) as b) where tid < 500)
-  select tid, gc_bin, round(case when obs > 0 then c when kcnt >= 100000 then 0.5 else coalesce(greatest(
-    (select arg_max(o.c, o.gc_bin) from m o where o.tid = m.tid and o.obs > 0 and o.gc_bin < m.gc_bin),
-    (select arg_min(o.c, o.gc_bin) from m o where o.tid = m.tid and o.obs > 0 and o.gc_bin > m.gc_bin)), 0.5) end, 9)::double as cutoff from m""".replace("with m as", "select * from (with m as") + ")")
+@query()
 def null_model_gap_fill(f):
+    """Gaps of a made-up model of all taxa; a plain loop is its test."""
     bins = F.sequence(F.lit(0), F.lit(9))
-    model = f.nodes().where("tid < 500").select(
-        "tid", (F.col("tid") * 1000).alias("kcnt"), F.transform(bins, lambda b: F.when((F.col("tid") + b) % 3 == 0, 0).otherwise(1)).alias("obs"),
-        F.transform(bins, lambda b: 0.01 * (1 + (F.col("tid") * b) % 7)).alias("cutoff"),
+    model = f.nodes().select(
+        "tid", (F.col("tid") * 37 % 200 * 1000).alias("kcnt"), F.transform(bins, lambda b: F.when((F.col("tid") * 7 + b * b) % 5 < 3, 0).otherwise(1)).alias("obs"),
+        F.transform(bins, lambda b: 0.01 * ((F.col("tid") + b * 3) % 7)).alias("cutoff"),
     )
-    flat = nullmodel.fill_gaps(model).select("tid", F.posexplode("cutoff").alias("gc_bin", "cutoff"))
-    return flat.select("tid", F.col("gc_bin").cast("bigint").alias("gc_bin"), r9("cutoff"))
+    flat = nullmodel.fill_gaps(model).select("tid", "kcnt", F.posexplode("cutoff").alias("gc_bin", "cutoff"))
+    return flat.select("tid", "kcnt", F.col("gc_bin").cast("bigint").alias("gc_bin"), r9("cutoff"))
 
 
 @query()
 def random_reads(f):
     return nullmodel.random_reads(f.spark, 50, 60)
+
+
+def _random_seen(f):
+    """What 60-base random reads find in the index, by GC bin."""
+    return f.stored("random_seen", lambda: _observe(f))
+
+
+def _observe(f):
+    reads = nullmodel.random_reads(f.spark, 400, 60)
+    return nullmodel.of_random_reads(nullmodel.label_random(reads, f.label_index(), K), reads)
+
+
+@query()
+def null_model_random(f):
+    """Random reads labelled: the raw null model."""
+    return _random_seen(f).select("tid", "gc_bin", r9("max_prob"), "n")
+
+
+@query()
+def null_model_rolled_up(f):
+    """The null model of every taxon of the index, from random reads."""
+    counts = index.tid_frequency(f.subtree()).select("tid", F.col("n_kmers").alias("n"))
+    return nullmodel.roll_up(_random_seen(f), f.tax(), counts).select("tid", "node", "gc_bin", r9("max_prob"), "n")
+
+
+@query()
+def null_model_neighbours(f):
+    counts = index.tid_frequency(f.subtree()).select("tid", F.col("n_kmers").alias("kcnt"))
+    seen = _random_seen(f).select("tid", F.col("max_prob").alias("prob")).join(counts, "tid")
+    return nullmodel.neighbour_statistics(seen, 20).select("tid", r9("low"), r9("high"), r9("mean"), r9("stdev"), "n")

@@ -5,13 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kmers import decode
 from ..operators.reports import fasta_lines
 
 
 def write_fasta(df: DataFrame, path: str, width: int = 80) -> None:
-    """(main_tid, header, seq) as wrapped FASTA, one folder a main_tid."""
-    lines = df.select("main_tid", fasta_lines(F.col("header"), F.col("seq"), width).alias("value"))
-    lines.write.partitionBy("main_tid").text(path)
+    """(main, header, seq) as wrapped FASTA, one folder a group."""
+    lines = df.select("main", fasta_lines(F.col("header"), F.col("seq"), width).alias("value"))
+    lines.write.partitionBy("main").text(path)
+
+
+def write_fastq(df: DataFrame, path: str) -> None:
+    """(header, seq, qual) as FASTQ."""
+    df.select(F.concat(F.lit("@"), "header", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.text(path)
+
+
+def kmer_lines(lists: DataFrame) -> DataFrame:
+    """(value): index lists (kmer, tids) as ``kmer tid tid ...``."""
+    return lists.select(F.concat_ws(" ", "kmer", F.array_join(F.transform("tids", lambda t: t.cast("string")), " ")).alias("value"))
+
+
+def record_lines(lists: DataFrame, k: int) -> DataFrame:
+    """(value): coded index records (kmer, tids) in readable form: code, bases, number of taxa, taxa."""
+    tids = F.array_join(F.transform("tids", lambda t: t.cast("string")), " ")
+    return lists.select(F.concat_ws(" ", F.col("kmer").cast("string"), decode(F.col("kmer"), k), F.size("tids").cast("string"), tids).alias("value"))
+
+
+def write_kmers(lists: DataFrame, path: str) -> None:
+    """kmer_lines as text files, sorted inside each."""
+    kmer_lines(lists).sortWithinPartitions("value").write.text(path)
 
 
 def write_labelled(df: DataFrame, path: str, hide_seq: bool = False) -> None:

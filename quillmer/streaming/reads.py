@@ -13,7 +13,7 @@ def stream_fasta(spark: SparkSession, folder: str) -> DataFrame:
     records = spark.readStream.format("text").option("lineSep", "\n>").load(folder).where(F.trim("value") != "")
     body = F.regexp_replace("value", "^>", "")
     seq = F.regexp_replace(F.regexp_replace(body, r"^[^\n]*\n?", ""), r"\s", "")
-    return records.select(F.substring_index(body, "\n", 1).alias("read_id"), seq.alias("seq"))
+    return records.select(F.regexp_replace(F.substring_index(body, "\n", 1), r"\s+$", "").alias("read_id"), seq.alias("seq"))
 
 
 def running_hits(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
