@@ -150,7 +150,10 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
         out = moved.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.union(low.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        out = scratch.keep(out.where("a <> b").distinct(), "large" if large else "small")
+        scratch.drop(low)
+        scratch.drop(e)
+        return out
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -160,10 +163,7 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataF
     )
     before = mark(edges)
     while before[0]:
-        larger = scratch.keep(star(edges, True), "large")
-        scratch.drop(edges)
-        edges = scratch.keep(star(larger, False), "small")
-        scratch.drop(larger)
+        edges = star(star(edges, True), False)
         now = mark(edges)
         if now == before:
             break

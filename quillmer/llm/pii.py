@@ -165,7 +165,10 @@ def all_spans(spark: SparkSession, docs: DataFrame, rounds: int = 3) -> DataFram
     base = spans.where("kind < 4 or kind is null").select("row", "doc_id", "th", "kind", "start", "end")
     rest = named.join(new, "row").select("row", "doc_id", "th", F.lit(4).alias("kind"), "start", "end")
     bare = named.select("row", "doc_id", "th", F.lit(None).cast("int").alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end"))
-    return base.where("kind is not null").union(rest).union(bare)
+    every = scratch.keep(base.where("kind is not null").union(rest).union(bare), "every")
+    for done in (found, spans, seen):
+        scratch.drop(done)
+    return every
 
 
 def _listed(items: Column) -> Column:
