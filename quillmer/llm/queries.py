@@ -105,6 +105,16 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(len(r.ps), 0)::bigint as
 from d left join removed r on r.doc_id = d.doc_id
 """
 
+_OP7 = """
+with p as (select page_id, coalesce(html, '') as html, min(page_id) over (partition by coalesce(html, '')) as low from pages),
+d as (select *, list_transform(range(0, 8), lambda k: ('0x' || substr(sha1(html), (5 * k + 1)::int, 5))::int) as parts from p)
+select page_id, strlen(html)::bigint as payload_bytes,
+  list_reduce(list_transform(parts, lambda v: list_reduce(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), lambda a, b: a || b)),
+    lambda a, b: a || b) as payload_digest,
+  case when page_id > low then 'revisit' else 'response' end as record_type, case when page_id > low then low end as refers_to
+from d
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_vectors": _OP2, "op8_passages": _OP8}
+    return {"op2_vectors": _OP2, "op7_warc": _OP7, "op8_passages": _OP8}
