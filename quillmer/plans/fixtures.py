@@ -58,7 +58,7 @@ class Fixtures:
         region = row(self.table("region", "r_regionkey", "r_name"), F.col("r_regionkey") + 10, F.lit(1), F.col("r_name"), F.lit("family"))
         nation = row(self.table("nation", "n_nationkey", "n_name", "n_regionkey"), F.col("n_nationkey") + 100, F.col("n_regionkey") + 10, F.col("n_name"), F.lit("genus"))
         middle = row(kinds, species, F.col("c_nationkey") + 100, F.col("c_mktsegment"), F.lit("species"))
-        leaves = row(cust.join(F.broadcast(segs), "c_mktsegment"), (F.col("c_custkey") + 1000).cast("int"), species, F.concat(F.lit("customer "), F.col("c_custkey").cast("string")), F.lit("strain"))
+        leaves = row(cust.join(F.broadcast(segs), "c_mktsegment"), (F.col("c_custkey") + 100_000).cast("int"), species, F.concat(F.lit("customer "), F.col("c_custkey").cast("string")), F.lit("strain"))
         special = self.spark.createDataFrame(SPECIAL_NODES, "tid int, parent int, name string, rank string")
         return root.union(region).union(nation).union(middle).union(leaves).union(special)
 
@@ -75,12 +75,12 @@ class Fixtures:
         full = cust.join(self.table("nation", "n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
         part = lambda kind, c: dna(F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")))
         seq = F.concat(part("region", "n_regionkey"), part("nation", "n_nationkey"), part("cust", "c_custkey"))
-        own = full.select((F.col("c_custkey") + 1000).cast("int").alias("tid"), seq.alias("seq"))
+        own = full.select((F.col("c_custkey") + 100_000).cast("int").alias("tid"), seq.alias("seq"))
         return own.union(self.special_genomes().select("tid", "seq"))
 
     def reads(self) -> DataFrame:
         """read_id, seq, true_tid: cut from genomes, every tenth kind altered in its own way."""
-        orders = self.table("orders", "o_orderkey", "o_custkey").withColumn("tid", (F.col("o_custkey") + 1000).cast("int"))
+        orders = self.table("orders", "o_orderkey", "o_custkey").withColumn("tid", (F.col("o_custkey") + 100_000).cast("int"))
         r = orders.join(self.genomes(), "tid").withColumn("s", F.col("seq").substr(F.col("o_orderkey") % 47 + 1, F.lit(50)))
         kind, s = F.col("o_orderkey") % 10, F.col("s")
         new = (
@@ -157,7 +157,7 @@ class Fixtures:
         """(sample, tid, wrc, rc): line items by return flag and customer."""
         line = self.table("lineitem", "l_orderkey", "l_returnflag", "l_discount")
         full = line.join(self.table("orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        by = full.groupBy(F.col("l_returnflag").alias("sample"), (F.col("o_custkey") + 1000).cast("int").alias("tid"))
+        by = full.groupBy(F.col("l_returnflag").alias("sample"), (F.col("o_custkey") + 100_000).cast("int").alias("tid"))
         return by.agg(F.sum("l_discount").alias("wrc"), F.count("*").alias("rc"))
 
     def summary(self) -> DataFrame:

@@ -633,9 +633,9 @@ def lineage_tids(f):
     return f.summary().select("tid").join(found, "tid", "left_semi")
 
 
-@query("select c_custkey, c_name as header, 1000 + c_custkey as tid from customer where c_mktsegment <> 'MACHINERY'")
+@query("select c_custkey, c_name as header, 100000 + c_custkey as tid from customer where c_mktsegment <> 'MACHINERY'")
 def header_join(f):
-    known = f.table("customer", "c_custkey", "c_name", "c_mktsegment").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_name").alias("header"), (F.col("c_custkey") + 1000).alias("tid"))
+    known = f.table("customer", "c_custkey", "c_name", "c_mktsegment").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_name").alias("header"), (F.col("c_custkey") + 100_000).alias("tid"))
     return maps.with_tids(f.table("customer", "c_custkey", "c_name").withColumnRenamed("c_name", "header"), known)
 
 
@@ -645,11 +645,11 @@ def header_unmapped(f):
     return maps.unmapped(f.table("customer", "c_name").withColumnRenamed("c_name", "header"), known)
 
 
-@query("select 's gi|' || l_partkey || '| z' as header, l_partkey as gi, (1000 + l_suppkey)::bigint as tid from lineitem where l_linenumber = 1")
+@query("select 's gi|' || l_partkey || '| z' as header, l_partkey as gi, (100000 + l_suppkey)::bigint as tid from lineitem where l_linenumber = 1")
 def gi_join(f):
     line = f.table("lineitem", "l_partkey", "l_suppkey", "l_linenumber", "l_orderkey").where("l_linenumber = 1")
-    rows = line.select(F.concat(F.lit("s gi|"), F.col("l_partkey").cast("string"), F.lit("| z")).alias("header"), (1000 + F.col("l_suppkey")).alias("own"), "l_orderkey")
-    gis = line.select(F.col("l_partkey").alias("gi"), (1000 + F.col("l_suppkey")).alias("tid")).distinct()
+    rows = line.select(F.concat(F.lit("s gi|"), F.col("l_partkey").cast("string"), F.lit("| z")).alias("header"), (100000 + F.col("l_suppkey")).alias("own"), "l_orderkey")
+    gis = line.select(F.col("l_partkey").alias("gi"), (100000 + F.col("l_suppkey")).alias("tid")).distinct()
     return maps.gi_tids(rows, gis).where("own = tid").select("header", "gi", "tid")
 
 
@@ -667,9 +667,9 @@ def reads_in_set(f):
 
 @query("""select c_custkey as name, 1 + c_custkey % 90 as pos, substr(seq, (1 + c_custkey % 90)::int, 1) as ref, 'n' as alt,
   substr(seq, greatest(1, c_custkey % 90 - 14)::int, least(15, c_custkey % 90)::int) as before, substr(seq, (2 + c_custkey % 90)::int, 15) as after
-  from customer join genomes on tid = 1000 + c_custkey""")
+  from customer join genomes on tid = 100000 + c_custkey""")
 def variant_context(f):
-    seqs = f.genomes().where("tid >= 1000 and tid <> 9606 and tid <> 63221").select((F.col("tid") - 1000).cast("bigint").alias("name"), "seq")
+    seqs = f.genomes().where("tid between 100000 and 300000").select((F.col("tid") - 100_000).cast("bigint").alias("name"), "seq")
     at = f.table("customer", "c_custkey").select(F.col("c_custkey").alias("name"), (1 + F.col("c_custkey") % 90).cast("int").alias("pos"))
     variants = at.join(seqs, "name").select("name", "pos", F.substring("seq", F.col("pos"), F.lit(1)).alias("ref"), F.lit("n").alias("alt"))
     return maps.variant_context(variants, seqs).withColumn("pos", F.col("pos").cast("bigint"))
@@ -692,7 +692,7 @@ def gene_best(f):
 
 def _calls(f):
     line = f.table("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_discount")
-    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), (F.col("l_suppkey") + 1000).cast("int").alias("tid"), F.col("l_discount").alias("score"))
+    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), (F.col("l_suppkey") + 100_000).cast("int").alias("tid"), F.col("l_discount").alias("score"))
 
 
 _GTAXA = "select * from gtaxa"

@@ -34,7 +34,7 @@ PARTS = {
       union all select 10 + r_regionkey, 1, r_name, 'family' from region
       union all select 100 + n_nationkey, 10 + n_regionkey, n_name, 'genus' from nation
       union all select distinct 200 + 10 * c_nationkey + seg, 100 + c_nationkey, c_mktsegment, 'species' from customer join segs using (c_mktsegment)
-      union all select 1000 + c_custkey, 200 + 10 * c_nationkey + seg, concat('customer ', c_custkey), 'strain' from customer join segs using (c_mktsegment)
+      union all select 100000 + c_custkey, 200 + 10 * c_nationkey + seg, concat('customer ', c_custkey), 'strain' from customer join segs using (c_mktsegment)
       union all select tid, parent, name, rank from """ + _values(SPECIAL_NODES, "tid, parent, name, rank"),
     "up": """select tid, tid as node, 0 as steps from nodes
       union all select u.tid, n.parent, u.steps + 1 from up u join nodes n on n.tid = u.node where n.parent <> n.tid""",
@@ -43,9 +43,9 @@ PARTS = {
     "nrank": """select tid, case when rank = 'strain' then 16 when rank = 'species' then 15 when rank = 'genus' then 14
       when rank = 'family' then 12 when rank is null then 16 else 1 end as nrank from nodes""",
     "sgenomes": f"select i, tid, {dna('a')} || {dna('b')} || {dna('c')} as seq from " + _values([(i, *g) for i, g in enumerate(SPECIAL_GENOMES)], "i, tid, a, b, c"),
-    "genomes": f"""select 1000 + c_custkey as tid, {dna("concat('region:', n_regionkey)")} || {dna("concat('nation:', n_nationkey)")} || {dna("concat('cust:', c_custkey)")} as seq
+    "genomes": f"""select 100000 + c_custkey as tid, {dna("concat('region:', n_regionkey)")} || {dna("concat('nation:', n_nationkey)")} || {dna("concat('cust:', c_custkey)")} as seq
       from customer join nation on c_nationkey = n_nationkey union all select tid, seq from sgenomes""",
-    "cut": f"""select o_orderkey as read_id, g.tid as true_tid, substr(g.seq, 1 + o_orderkey % 47, 50) as s from orders join genomes g on g.tid = 1000 + o_custkey
+    "cut": f"""select o_orderkey as read_id, g.tid as true_tid, substr(g.seq, 1 + o_orderkey % 47, 50) as s from orders join genomes g on g.tid = 100000 + o_custkey
       union all select {SPECIAL_READS} + 10 * (i * 100 + o) + 5, tid, substr(seq, o + 1, 50) from (select *, unnest(range(0, 47, {SPECIAL_STEP})) as o from sgenomes)""",
     "reads": f"""select read_id, true_tid, case read_id % 10 when 0 then substr(s, 1, 25) || 'n' || substr(s, 27) when 1 then {rc('s')}
       when 2 then upper(s) when 3 then substr(s, 1, 8) when 4 then {dna("concat('noise:', read_id)")} else s end as seq from cut""",
@@ -100,9 +100,9 @@ PARTS = {
     "gcov": """select gid, count(*) as n_kmers, sum(n)::bigint as sum_kmers from (select gid, kmer, sum(occurrences) as n
       from ghits join gbest using (read_id, gid) group by gid, kmer) group by gid""",
     "gtaxa": """select gid, tid, count(*) as rc, sum(gscore) as score_sum, count(*) filter (score >= 0.05) as rc_tax, coalesce(sum(gscore) filter (score >= 0.05), 0) as score_sum_tax
-      from gbest join (select l_orderkey * 10 + l_linenumber as read_id, (1000 + l_suppkey)::int as tid, l_discount as score from lineitem) using (read_id)
+      from gbest join (select l_orderkey * 10 + l_linenumber as read_id, (100000 + l_suppkey)::int as tid, l_discount as score from lineitem) using (read_id)
       where gscore > 0.1 and hits > 20 group by gid, tid""",
-    "samples": """select l_returnflag as sample, 1000 + o_custkey as tid, sum(l_discount) as wrc, count(*) as rc
+    "samples": """select l_returnflag as sample, 100000 + o_custkey as tid, sum(l_discount) as wrc, count(*) as rc
       from lineitem join orders on l_orderkey = o_orderkey group by 1, 2""",
     "summary": "select tid, sum(wrc) as wrc, sum(rc)::bigint as rc from samples group by tid",
 }
