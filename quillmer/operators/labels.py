@@ -159,11 +159,16 @@ def candidates(scored: DataFrame, tax: DataFrame, human_bias: float = 0.0) -> Da
     A candidate has score (with the human bias) and plain (without); scores that
     agree to three decimals are ordered by depth, then tid.
     """
-    stats = score_stats(scored)
-    full = scored.join(stats, "read_id").join(tax.select("tid", "depth", "path"), "tid")
+    w = Window.partitionBy("read_id")
+    positive = F.col("score") > 0
+    few = F.count_if(positive).over(w) <= 3
+    pick = lambda f: F.when(few, f(F.col("score")).over(w)).otherwise(f(F.when(positive, F.col("score"))).over(w))
+    full = scored.withColumn("avg", pick(F.avg)).withColumn("stdev", F.coalesce(pick(F.stddev_samp), F.lit(0.0))).withColumn("top", F.max("score").over(w))
+    full = full.join(tax.select("tid", "depth", "path"), "tid")
     biased = F.when(taxonomy.is_human(F.col("tid")), F.col("score") + human_bias * F.col("stdev")).otherwise(F.col("score"))
     one = F.struct(F.round(biased, 3).alias("rounded"), "depth", "tid", biased.alias("score"), F.col("score").alias("plain"), "path")
-    return full.groupBy("read_id", "n_kmers", "n_found", "avg", "stdev", "top").agg(F.array_sort(F.collect_list(one)).alias("cands"))
+    facts = [F.first(c).alias(c) for c in ("n_kmers", "n_found", "avg", "stdev", "top")]
+    return full.groupBy("read_id").agg(*facts, F.array_sort(F.collect_list(one)).alias("cands"))
 
 
 def candidate_list(cands: Column) -> Column:
@@ -239,17 +244,18 @@ def decide(cands: list[dict], top: float, gap: float, plasmids: frozenset[int] =
 
 
 def call_reads(cands: DataFrame, sdiff: float = 1.0, phix_screen: bool = True, min_kmers: int = 0, min_found: int = 1, plasmids: tuple[int, ...] = ()) -> DataFrame:
-    """(read_id, tid, score, match_type) from candidates().
+    """(read_id, tid, score, match_type, avg, stdev, n_kmers, candidates) from candidates().
 
     Reads with less than min_found k-mers in the index, or less than min_kmers
     distinct ones, have no match: tid 0, score -1. A phage screened for (as good as
-    the best) makes the call the synthetic taxon.
+    the best) makes the call the synthetic taxon. The candidate list is that of
+    candidate_list.
     """
     listed = frozenset(plasmids)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            rows = []
+            rows, good = [], []
             for read, n, found, top, stdev, cs in zip(*(b[c] for c in ("read_id", "n_kmers", "n_found", "top", "stdev", "cands")), strict=True):
                 cs = list(cs)
                 phix = [c["plain"] for c in cs if c["tid"] in taxonomy.PHIX]
@@ -259,16 +265,19 @@ def call_reads(cands: DataFrame, sdiff: float = 1.0, phix_screen: bool = True, m
                     rows.append((read, taxonomy.SYNTHETIC, max(phix), DIRECT))
                 else:
                     rows.append((read, *decide(cs, top, stdev * sdiff, listed)))
-            yield pd.DataFrame(rows, columns=["read_id", "tid", "score", "match_type"])
+                good.append([{"tid": c["tid"], "score": c["score"]} for c in reversed(cs) if c["score"] >= 0])
+            out = pd.DataFrame(rows, columns=["read_id", "tid", "score", "match_type"])
+            yield out.assign(avg=b["avg"].to_numpy(), stdev=b["stdev"].to_numpy(), n_kmers=b["n_kmers"].to_numpy(), candidates=good)
 
     kind = cands.schema["read_id"].dataType.simpleString()
-    return cands.select("read_id", "n_kmers", "n_found", "top", "stdev", "cands").mapInPandas(batches, f"read_id {kind}, tid int, score double, match_type string")
+    shape = f"read_id {kind}, tid int, score double, match_type string, avg double, stdev double, n_kmers bigint, candidates array<struct<tid:int,score:double>>"
+    return cands.mapInPandas(batches, shape)
 
 
 def outcome(reads: DataFrame, calls: DataFrame, k: int, min_kmers: int, min_score: float | None = None, seq: str = "seq") -> DataFrame:
     """One row a read: its call (tid, score, match_type), or the reason why there is none or it doesn't count."""
     n = valid_count(F.col(seq), k)
-    got = reads.select("read_id", n.alias("valid_kmers")).join(calls, "read_id", "left")
+    got = reads.select("read_id", seq, n.alias("valid_kmers")).join(calls, "read_id", "left")
     reason = F.when(F.col("valid_kmers") < min_kmers, SHORT).when(F.col("tid").isNull() | (F.col("match_type") == NONE), NO_HITS)
     if min_score is not None:
         reason = reason.when(F.col("score") < min_score, LOW)
@@ -289,11 +298,8 @@ def label_reads(
     scored = log_odds(label_probabilities(kmers, index).join(binned, "read_id"), null, tax, buckets)
     cands = candidates(scored, tax, human_bias)
     calls = call_reads(cands, sdiff, phix_screen, min_kmers, min_found, plasmids)
-    out = outcome(reads, calls, k, min_kmers, min_score)
-    facts = cands.select("read_id", "avg", "stdev", "n_kmers", candidate_list(F.col("cands")).alias("candidates"))
-    full = out.join(facts, "read_id", "left").join(reads.select("read_id", "seq"), "read_id")
     columns = ["read_id", "seq", "avg", "stdev", "n_kmers", "valid_kmers", "candidates", "tid", "score", "match_type", "reason"]
-    return full.select(*columns)
+    return outcome(reads, calls, k, min_kmers, min_score).select(*columns)
 
 
 def top_taxon(probs: DataFrame, tax: DataFrame) -> DataFrame:

@@ -486,7 +486,7 @@ def read_candidate_list(f):
 
 @query()
 def read_label_call(f):
-    return labels.call_reads(labels.candidates(_odds(f), f.tax()), min_kmers=MIN_KMERS)
+    return labels.call_reads(labels.candidates(_odds(f), f.tax()), min_kmers=MIN_KMERS).select("read_id", "tid", r9("score"), "match_type")
 
 
 @query()

@@ -107,7 +107,7 @@ def test_phage_screen_human_bias_and_thresholds(spark):
     one = lambda tid, depth, score, path: (round(score, 3), depth, tid, score, score, path)
     cands = [one(1, 0, 1.0, []), one(5, 1, 2.0, [1]), one(10847, 2, 2.0, [5, 1])]
     df = spark.createDataFrame([("a", 40, 9, 1.0, 0.1, 2.0, cands), ("b", 40, 1, 1.0, 0.1, 2.0, cands), ("c", 10, 9, 1.0, 0.1, 2.0, cands)], shape)
-    got = {r["read_id"]: tuple(r)[1:] for r in labels.call_reads(df, min_kmers=20, min_found=2).collect()}
+    got = {r["read_id"]: tuple(r)[1:4] for r in labels.call_reads(df, min_kmers=20, min_found=2).collect()}
     assert got == {"a": (32630, 2.0, "DirectMatch"), "b": (0, -1.0, "NoMatch"), "c": (0, -1.0, "NoMatch")}
     assert labels.call_reads(df, phix_screen=False).first()["tid"] == 10847
     reads = spark.createDataFrame([("a", "acgt" * 12), ("b", "acgt" * 12), ("d", "acgt" * 12), ("e", "ac")], "read_id string, seq string")
