@@ -49,9 +49,10 @@ def terms_of(text: str | None) -> Counter:
 
 def known_counts(text: str | None, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the known terms of a text, and their counts."""
-    found = [(known[t], n) for t, n in terms_of(text).items() if t in known]
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+    found = terms_of(text)
+    numbers = np.array([known.get(t, -1) for t in found], np.int64)
+    held = numbers >= 0
+    return numbers[held], np.array(list(found.values()), np.int64)[held]
 
 
 def relevance(holders: np.ndarray, toxic_holders: np.ndarray) -> np.ndarray:
@@ -60,10 +61,10 @@ def relevance(holders: np.ndarray, toxic_holders: np.ndarray) -> np.ndarray:
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All indices of the ranges one after another, and the range each comes from."""
+    """All indices of the ranges one after another, and the lengths of the ranges."""
     n = ends - starts
-    owner = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + starts[owner], owner
+    upto = np.cumsum(n)
+    return np.arange(upto[-1] if len(n) else 0) + np.repeat(starts - upto + n, n), n
 
 
 @dataclass
@@ -119,8 +120,8 @@ class BlockMaxIndex:
         block = row // _BLOCK
         new = np.flatnonzero(np.r_[len(term) > 0, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
         return cls(
-            [ids[i] for i in held], toxic[held], scale, np.searchsorted(term[new], np.arange(len(scale) + 1)), block[new].astype(np.int32),
-            np.maximum.reduceat(w, new) if len(new) else np.zeros(0), np.r_[new, len(term)].astype(np.int32), row.astype(np.int32), w, row_of, full, rest, share,
+            [ids[i] for i in held], toxic[held], scale, np.searchsorted(term[new], np.arange(len(scale) + 1)), block[new].astype(np.int64),
+            np.maximum.reduceat(w, new) if len(new) else np.zeros(0), np.r_[new, len(term)].astype(np.int64), row.astype(np.int64), w, row_of, full, rest, share,
         )
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,15 +130,16 @@ class BlockMaxIndex:
         row = self.row_of[terms]
         sums = q[row >= 0] @ self.rows[row[row >= 0]]
         terms, q = terms[row < 0], q[row < 0]
-        entry, owner = _spread(self.at[terms], self.at[terms + 1])
-        block, w = self.block_of[entry], q[owner]
+        entry, n = _spread(self.at.take(terms), self.at.take(terms + 1))
+        block, w = self.block_of.take(entry), np.repeat(q, n)
         bound = np.maximum.reduceat(sums, np.arange(0, len(sums), _BLOCK))
-        bound += np.bincount(block, w * self.most[entry], minlength=len(bound))
+        bound += np.bincount(block, w * self.most.take(entry), minlength=len(bound))
 
         def fill(wanted: np.ndarray) -> None:
-            on = wanted[block]
-            post, of = _spread(self.first[entry[on]], self.first[entry[on] + 1])
-            np.add(sums, np.bincount(self.example[post], w[on][of] * self.weight[post], minlength=len(sums)), out=sums)
+            on = np.flatnonzero(wanted.take(block))
+            entries = entry.take(on)
+            post, n = _spread(self.first.take(entries), self.first.take(entries + 1))
+            np.add(sums, np.bincount(self.example.take(post), np.repeat(w.take(on), n) * self.weight.take(post), minlength=len(sums)), out=sums)
 
         lead = np.zeros(len(bound), bool)
         lead[np.argsort(-bound, kind="stable")[:_FIRST]] = True

@@ -85,3 +85,15 @@ def test_repeated_rows_ids_of_text_and_empty_tables(spark):
     assert toxicity.score_toxicity(df.where("false"), index, known).count() == 0
     none = toxicity.fit_toxicity(spark, df.where("false"), labels)
     assert none[1] == {} and {r["score"] for r in toxicity.score_toxicity(df, *none).collect()} == {0.0}
+
+
+def test_known_counts_keep_the_order_of_a_text():
+    terms, counts = toxicity.known_counts("B a b x A a", {"a": 7, "b": 2})
+    assert terms.tolist() == [2, 7] and counts.tolist() == [2, 3]
+    assert [len(c) for c in toxicity.known_counts(None, {"a": 0})] == [0, 0]
+
+
+def test_ranges_are_spread_in_order():
+    at, n = toxicity._spread(np.array([4, 0, 9]), np.array([6, 0, 10]))
+    assert at.tolist() == [4, 5, 9] and n.tolist() == [2, 0, 1]
+    assert len(toxicity._spread(np.zeros(0, int), np.zeros(0, int))[0]) == 0
