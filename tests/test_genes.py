@@ -54,3 +54,13 @@ def test_wide_kmers_are_not_listed_a_read(spark):
     plan = genes.best_genes(spark.createDataFrame(reads, "read_id bigint, seq string"), found, 12)
     got = {x["read_id"]: x["gid"] for x in plan.collect()}
     assert got == {n: n % 3000 for n in range(6000)}
+
+
+def test_reads_meet_genes_by_code(spark):
+    """K-mers go to the genes as codes, from one row a read; a read whose rows share an id is one read, one without an id none."""
+    found = spark.createDataFrame([("acgtac", 7), ("ccgtac", 8), ("ccgtac", 9)], "kmer string, gid bigint")
+    reads = spark.createDataFrame([(1, "ACGTAC"), (1, "ccgtacn"), (2, "ttgtacgg"), (None, "acgtac"), (3, None)], "read_id bigint, seq string")
+    plan = genes.best_genes(reads, found, 6)
+    got = {r["read_id"]: (r["gid"], r["hits"], round(r["gscore"], 9)) for r in plan.collect()}
+    assert got == {1: (7, 1, 0.5), 2: (8, 1, round(1 / 3, 9))}
+    assert "MapInArrow" in genes.read_codes(genes.merged(reads), 6)._jdf.queryExecution().executedPlan().toString()
