@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ _BLOCK = 64
 _FIRST = 4
 #: A term held by one in so many examples has a full row of weights.
 _COMMON = 8
+#: So many texts meet the rows of the common terms at once.
+_TEXTS = 64
 
 
 def terms_of(text: str | None) -> Counter:
@@ -50,9 +53,9 @@ def terms_of(text: str | None) -> Counter:
 def known_counts(text: str | None, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the known terms of a text, and their counts."""
     found = terms_of(text)
-    numbers = np.array([known.get(t, -1) for t in found], np.int64)
+    numbers = np.fromiter(map(known.get, found, repeat(-1)), np.int64, len(found))
     held = numbers >= 0
-    return numbers[held], np.array(list(found.values()), np.int64)[held]
+    return numbers[held], np.fromiter(found.values(), np.int64, len(found))[held]
 
 
 def relevance(holders: np.ndarray, toxic_holders: np.ndarray) -> np.ndarray:
@@ -121,16 +124,23 @@ class BlockMaxIndex:
         new = np.flatnonzero(np.r_[len(term) > 0, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
         return cls(
             [ids[i] for i in held], toxic[held], scale, np.searchsorted(term[new], np.arange(len(scale) + 1)), block[new].astype(np.int64),
-            np.maximum.reduceat(w, new) if len(new) else np.zeros(0), np.r_[new, len(term)].astype(np.int64), row.astype(np.int64), w, row_of, full, rest, share,
+            np.maximum.reduceat(w, new) if len(new) else np.zeros(0), np.r_[new, len(term)].astype(np.int64), row.astype(np.int32), w, row_of, full, rest, share,
         )
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Likenesses and examples of the k nearest with any likeness, exact; of equals the smaller ids."""
-        q = unit(terms, counts, self.scale)
-        row = self.row_of[terms]
-        sums = q[row >= 0] @ self.rows[row[row >= 0]]
-        terms, q = terms[row < 0], q[row < 0]
-        entry, n = _spread(self.at.take(terms), self.at.take(terms + 1))
+    def ready(self, many: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text (terms, counts) its unit vector, and what the common terms add to its likeness to each example."""
+        units, q = [unit(*x, self.scale) for x in many], np.zeros((len(many), len(self.rows)))
+        for i, (terms, _) in enumerate(many):
+            row = self.row_of.take(terms)
+            q[i, row[row >= 0]] = units[i][row >= 0]
+        return list(zip(units, q @ self.rows, strict=True))
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Likenesses and examples of the k nearest with any likeness, exact; of equals the smaller ids. q and sums are those of ready."""
+        rare, common = self.row_of.take(terms) < 0, sums
+        terms, q, sums = terms[rare], q[rare], sums.copy()
+        low, high = self.at.take(terms), self.at.take(terms + 1)
+        entry, n = _spread(low, high)
         block, w = self.block_of.take(entry), np.repeat(q, n)
         bound = np.maximum.reduceat(sums, np.arange(0, len(sums), _BLOCK))
         bound += np.bincount(block, w * self.most.take(entry), minlength=len(bound))
@@ -145,7 +155,12 @@ class BlockMaxIndex:
         lead[np.argsort(-bound, kind="stable")[:_FIRST]] = True
         fill(lead)
         least = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
-        fill(~lead & (bound > 0) & (bound >= least - 1e-9))
+        rest = ~lead & (bound > 0) & (bound >= least - 1e-9)
+        if rest.sum() * 2 > len(rest):  # most blocks may hold a neighbour: the terms' whole lists are read, in one stretch each
+            post, n = _spread(self.first.take(low), self.first.take(high))
+            sums = common + np.bincount(self.example.take(post), np.repeat(q, n) * self.weight.take(post), minlength=len(sums))
+        else:
+            fill(rest)
         sums = np.round(sums, 12)
         hits = np.flatnonzero(sums > 0)
         if len(hits) > k:
@@ -153,11 +168,11 @@ class BlockMaxIndex:
         best = sorted(hits.tolist(), key=lambda h: (-sums[h], self.ids[h]))[:k]
         return sums[best], np.array(best, int)
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, k: int, shrink: float) -> tuple[float, list]:
+    def score(self, terms: np.ndarray, counts: np.ndarray, k: int, shrink: float, ready: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[float, list]:
         """Score from 0 to 1 and the ids of the first neighbours that voted."""
         if not len(terms) or not len(self.ids):
             return self.rest, []
-        like, near = self.nearest(terms, counts, k)
+        like, near = self.nearest(terms, *(ready or self.ready([(terms, counts)])[0]), k)
         votes = float((like * self.toxic[near]).sum() + shrink * self.share) / float(like.sum() + shrink)
         return votes, [self.ids[n] for n in near[:3]]
 
@@ -171,12 +186,13 @@ def document_frequencies(docs: DataFrame, known: dict[str, int]) -> tuple[np.nda
     """In how many of all documents each known term occurs, and their number; one sum a term and task is shuffled."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known) + 1, np.int64)
+        total = np.zeros(len(known) + 2, np.int64)  # the last but one are the texts, the last is of no term
         for b in it:
             for text in b.column("text").to_pylist():
-                total[[known[t] for t in set(_TERM.findall((text or "").lower())) if t in known]] += 1
-            total[-1] += b.num_rows
-        some = np.flatnonzero(total)
+                terms = set(_TERM.findall((text or "").lower()))
+                total[np.fromiter(map(known.get, terms, repeat(-1)), np.int64, len(terms))] += 1
+            total[-2] += b.num_rows
+        some = np.flatnonzero(total[:-1])
         yield pa.RecordBatch.from_pydict({"term": some, "n": total[some]})
 
     got = docs.select("text").mapInArrow(batches, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -228,7 +244,10 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex, known: dict[str, int],
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids = b.column("doc_id")
-            got = [index.score(*known_counts(t, known), k, shrink) for t in b.column("text").to_pylist()]
+            got = []
+            for i in range(0, b.num_rows, _TEXTS):
+                many = [known_counts(t, known) for t in b.column("text").slice(i, _TEXTS).to_pylist()]
+                got += [index.score(*x, k, shrink, ready) for x, ready in zip(many, index.ready(many), strict=True)]
             columns = [ids, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(ids.type))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence"])
 
