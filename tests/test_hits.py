@@ -48,3 +48,12 @@ def test_a_node_lent_by_two_species_counts_once_a_kmer(spark):
     assert got == {("a", 11): 2, ("a", 12): 1, ("a", 13): 1, ("a", 5): 2, ("a", 6): 1, ("a", 1): 2, ("a", 7): 1, ("b", 13): 1, ("b", 11): 1, ("b", 5): 1}
     facts = {tuple(r)[3:6] for r in hits.counted(spark.createDataFrame(rows, shape)).where("read_id = 'a'").collect()}
     assert facts == {(3, 3, 4)}
+
+
+def test_genes_of_reads(spark):
+    shape = "read_id bigint, n bigint, code bigint, genes array<bigint>, m int"
+    rows = [(1, 4, 9, [5, 3], None), (1, 4, 2, [3], None), (1, 4, 8, [], 6), (1, 4, 7, [], 4), (2, 1, 5, [], 2), (3, 1, 1, [4, 2], None)]
+    from pyspark.sql.types import LongType
+
+    got = {r["read_id"]: (r["n"], r["wide"], r["m"], sorted(map(tuple, r["l"])), r["lead"]) for r in hits.genes_of_reads(spark.createDataFrame(rows, shape), LongType()).collect()}
+    assert got == {1: (4, [7, 8], 6, [(1, 5), (2, 3)], 3), 2: (1, [5], 2, [], None), 3: (1, [], 0, [(1, 2), (1, 4)], 2)}
