@@ -1,9 +1,11 @@
 """The best gene of a read against every gene of every k-mer."""
 
+import os
 import random
 
 import pytest
 
+from quillmer import store
 from quillmer.operators import genes, index
 
 
@@ -64,3 +66,34 @@ def test_reads_meet_genes_by_code(spark):
     got = {r["read_id"]: (r["gid"], r["hits"], round(r["gscore"], 9)) for r in plan.collect()}
     assert got == {1: (7, 1, 0.5), 2: (8, 1, round(1 / 3, 9))}
     assert "MapInArrow" in genes.read_codes(genes.merged(reads), 6)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [1, 3, 64])
+def test_reads_of_several_rows_meet_packed_lists(spark, few, monkeypatch):
+    """Reads of several rows, of which a gene has one whole, are settled in parts and without all genes of all k-mers."""
+    r = random.Random(5)
+    block = lambda n: "".join(r.choice("acgt") for _ in range(n))
+    heads = [block(20) for _ in range(3)]
+    seqs = [(g, heads[g % 3] + block(30)) for g in range(90)]
+    seqs += [(200 + g, heads[0] + seqs[g][1][25:45] + seqs[g + 1][1][22:40]) for g in range(20)]
+    reads = [(n // 3, r.choice(seqs)[1][r.randrange(10) :][:30]) for n in range(600)]
+    found = index.kmer_taxa(spark.createDataFrame(seqs, "tid bigint, seq string"), 8).withColumnRenamed("tid", "gid")
+    late = []
+    monkeypatch.setattr(genes, "_AT_ONCE", 250)
+    monkeypatch.setattr(genes, "_REST_AT_ONCE", 90)
+    whole = genes._by_all_kmers
+    monkeypatch.setattr(genes, "_by_all_kmers", lambda reads, *a: late.append(reads.count()) or whole(reads, *a))
+    got = genes.best_genes(spark.createDataFrame(reads, "read_id bigint, seq string"), found, 8, few).collect()
+    assert {g["read_id"]: (g["gid"], g["hits"], round(g["gscore"], 9)) for g in got} == naive(reads, [tuple(p) for p in found.collect()], 8)
+    assert len(got) == 200 and (few < 64 or sum(late) < 100)
+
+
+def test_tables_of_the_way_are_deleted(spark):
+    """What is written on the way to the best genes goes with its last reader; before, every table stayed until the end of the session."""
+    folder = store.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = spark.createDataFrame([("acgtac", 7), ("ccgtac", 8), ("ccgtac", 9)], "kmer string, gid bigint")
+    got = genes.best_genes(spark.createDataFrame([(1, "acgtac"), (2, "ttgtacgg")], "read_id bigint, seq string"), found, 6)
+    assert {r["read_id"]: (r["gid"], r["hits"]) for r in got.collect()} == {1: (7, 1), 2: (8, 1)}
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert not left & {"own", "reads", "found", "checked", "runs"}
