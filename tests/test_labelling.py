@@ -167,6 +167,21 @@ def test_summaries_follow_the_calls(spark, fixtures):
     assert sum(r["rc"] for r in q["call_rank_report"](spark, SF).where("rank = 'genus'").collect()) == sum(r["rc"] for r in genus.values())
 
 
+def test_ordered_summary_holds_the_spectra_of_its_reads(spark, fixtures):
+    """Each genus has a spectrum a k over the k-mers of the reads called at or below it; before, no genus had any."""
+    paths = {r["tid"]: [r["tid"], *r["path"]] for r in fixtures.tax().collect()}
+    calls = {(r["read_id"], r["tid"]) for r in fixtures.labelled().where("reason is null").collect()}
+    seqs = [(r["read_id"], r["seq"].lower()) for r in fixtures.reads().collect()]
+    flip = lambda w: w[::-1].translate(str.maketrans("acgt", "tgca"))
+    rows = registry.queries()["ordered_summary"](spark, SF).collect()
+    assert rows and all(r["n_spectra"] == 2 for r in rows)
+    for r in rows[:3]:
+        own = {i for i, t in calls if r["tid"] in paths[t]}
+        for x in r["spectra"]:
+            n = Counter(min(w, flip(w)) for i, s in seqs if i in own for w in (s[j : j + x["k"]] for j in range(len(s) - x["k"] + 1)) if set(w) <= set("acgt"))
+            assert (x["n_distinct"], x["n_total"]) == (len(n), sum(n.values()))
+
+
 def test_gaps_are_filled_as_a_plain_loop_does(spark):
     rows = registry.queries()["null_model_gap_fill"](spark, SF).collect()
     got, many = defaultdict(dict), 0
